@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from eventfold.functions import headers as H
 from eventfold.functions import text as X
-from eventfold.schemas import DLQ_TOPIC, RETRY_TOPIC
+from eventfold.operators.decode import parse_event, poison_message
+from eventfold.operators.routing import route, with_delivery
+from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler
+from eventfold.schemas import DLQ_TOPIC, RETRY_TOPIC, SNAPSHOT_TOPIC
 
 #: Error classes no further attempt can fix, fixed values.
 NON_RETRYABLE = ("NonRetryableError",)
@@ -74,6 +77,42 @@ def fail_lever(
     raise ValueError(f"unknown failure mode {mode!r}")
 
 
+def failed_deliveries(
+    log: DataFrame,
+    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    handler: Handler | None = None,
+    snapshot_topic: str = SNAPSHOT_TOPIC,
+) -> DataFrame:
+    """Every delivery that failed: the handler raised, or the record would not decode.
+
+    Narrow. Rows keep the original key and value, and where the record was read.
+    """
+    decoded = with_delivery(parse_event(log.withColumn("body", F.col("value")), with_payload=False))
+    routed = route(decoded, services, snapshot_topic).where(F.col("route").isin("event", "poison"))
+    handled = apply_handler(routed, handler)
+    bad = F.col("route") == "poison"
+    return (
+        handled.withColumn(
+            "error_class", F.when(bad, F.lit("NonRetryableError")).otherwise(F.col("error_class"))
+        )
+        .withColumn(
+            "error_message", F.when(bad, poison_message(F.col("reasons"))).otherwise(F.col("error_message"))
+        )
+        .where(F.col("error_class").isNotNull())
+        .select(
+            "service", "group_id", "topic", "partition", "offset", "timestamp", "attempt",
+            F.when(bad, X.key_text(F.col("key"))).otherwise(F.col("order_id")).alias("order_id"),
+            "sequence", "error_class", "error_message", "key", F.col("body").alias("value"),
+            F.struct(
+                F.coalesce("topic", F.lit("unknown")).alias("topic"),
+                F.coalesce("partition", F.lit(-1)).alias("partition"),
+                F.coalesce("offset", F.lit(-1)).alias("offset"),
+                H.message_ts_iso(F.col("timestamp")).alias("timestamp"),
+            ).alias("origin"),
+        )
+    )
+
+
 def route_failures(
     rows: DataFrame, policy: RetryPolicy = RetryPolicy(), non_retryable: Sequence[str] = NON_RETRYABLE
 ) -> DataFrame:

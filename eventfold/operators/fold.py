@@ -66,9 +66,10 @@ def deliveries(
         "order_id", F.when(F.col("is_tombstone"), X.key_text(F.col("key"))).otherwise(F.col("order_id"))
     ).select(*_SLIM, *extra)
     slim = slim.where(~F.col("is_poison") & (F.col("is_tombstone") | (F.col("topic") != snapshot_topic)))
-    placed = slim.withColumn("block", block_of(F.col("order_id"), F.col(order), hot, block_rows)).repartition(
-        "order_id", "block"
-    )
+    # Without hot orders the block is a constant, which must stay out of the partitioning:
+    # the planner drops constants from the windows' keys and would shuffle a second time.
+    placed = slim.withColumn("block", block_of(F.col("order_id"), F.col(order), hot, block_rows))
+    placed = placed.repartition("order_id", "block") if hot else placed.repartition("order_id")
     routed = fan_out(placed, services).withColumn("route", branch(F.col("service"), snapshot_topic))
     mine = routed.where(F.col("route").isin("event", "tombstone")).drop("handled_types", "is_poison")
     handled = apply_handler(mine, handler)

@@ -15,6 +15,11 @@ MAX_HOT_KEYS = 4096
 SKETCH_ITEMS = 1 << 16
 
 
+def int_div(a: Column, b: int) -> Column:
+    """Whole-number division on bigints, without a detour through double."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
+
+
 def hot_keys(df: DataFrame, key: Column, block_rows: int = BLOCK_ROWS) -> list:
     """Return the keys holding at least ``block_rows`` rows, at most ``MAX_HOT_KEYS`` of them.
 
@@ -36,5 +41,5 @@ def block_of(
     """Block number of a row: -1 for ordinary keys, the offset block for hot ones."""
     if not hot:
         return F.lit(-1).cast("bigint")
-    cut = F.floor(order / F.lit(block_rows)).cast("bigint")
+    cut = int_div(order, block_rows)
     return F.when(key.isin(list(hot)), cut).otherwise(F.lit(-1).cast("bigint"))

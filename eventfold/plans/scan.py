@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.plans.hot import BLOCK_ROWS
+from eventfold.plans.hot import BLOCK_ROWS, int_div
 
 _MERGE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -31,7 +31,7 @@ def running(
     """
     block = "_block"
     names = list(aggs)
-    rows = df.withColumn(block, F.floor(F.col(order) / F.lit(block_rows)).cast("bigint"))
+    rows = df.withColumn(block, int_div(F.col(order), block_rows))
     for name, (_, value) in aggs.items():
         rows = rows.withColumn(f"_in_{name}", value)
 

@@ -59,6 +59,8 @@ cte(
     'ord-' || lpad(CAST(k AS VARCHAR), 12, '0') AS order_id,
     CASE WHEN kind = 'event' THEN 'evt-' || k || '-' || s || CASE WHEN slot = 12 THEN '-again' ELSE '' END END AS event_id,
     (k // 41) % 6 AS flaw,
+    CASE WHEN kind = 'tombstone' THEN 1 WHEN k % 10 = 3 THEN 2 WHEN k % 10 = 7 THEN 3 ELSE 1 END AS att,
+    CASE WHEN slot IN (3, 5, 7, 10) AND k % 2 = 0 THEN 'notification' END AS target,
     CASE ty WHEN 'ORDER_CREATED' THEN 'CREATED' ELSE ty END AS leads_to,
     CASE ty WHEN 'PACKED' THEN 'CREATED' WHEN 'SHIPPED' THEN 'PACKED' WHEN 'DELIVERED' THEN 'SHIPPED' END AS needs_state
     FROM recs""",
@@ -86,8 +88,8 @@ cte(
     CASE WHEN kind <> 'event' THEN NULL
          WHEN (k + s) % 47 = 0 THEN 'HANDLER_FAILURE_MODE=poison: ' || order_id || ' seq ' || s || ' can never be processed'
          WHEN (k + s) % 43 = 0 AND service = 'notification'
-         THEN 'HANDLER_FAILURE_MODE=transient: ' || order_id || ' seq ' || s || ' failed attempt 1 of 2' END AS err_text
-    FROM log CROSS JOIN services WHERE kind IN ('event', 'tombstone')""",
+         THEN 'HANDLER_FAILURE_MODE=transient: ' || order_id || ' seq ' || s || ' failed attempt ' || att || ' of 3' END AS err_text
+    FROM log CROSS JOIN services WHERE kind IN ('event', 'tombstone') AND (target IS NULL OR target = service)""",
     "log",
     "services",
 )
@@ -149,3 +151,39 @@ fold_ctes(
     "r", "dlv", ("dlv",), guarded=False,
     reset="CASE WHEN group_id = 'inventory-service' AND p = 1 AND off >= 20000 THEN 1 ELSE 0 END",
 )
+
+cte(
+    "reasons",
+    """SELECT *, CASE WHEN kind = 'not_json' THEN 'not_json_object' WHEN kind = 'bad_schema' THEN
+    CASE flaw WHEN 0 THEN 'sequence, event_type' WHEN 1 THEN 'sequence' WHEN 2 THEN 'not_json_object'
+    WHEN 3 THEN 'payment_mismatch' WHEN 4 THEN 'carrier' ELSE 'payload' END ELSE '' END AS why FROM log""",
+    "log",
+)
+#: Failed deliveries with where they go.
+cte(
+    "failed",
+    """SELECT k, p, off, ms, order_id, s, att, service, group_id, ord, err, err_text, why FROM (SELECT dlv.*, '' AS why FROM dlv)
+    WHERE err IS NOT NULL
+    UNION ALL SELECT k, p, off, ms, order_id, NULL, att, service, group_id, ord, 'NonRetryableError',
+    'undecodable message: ' || why, why FROM reasons CROSS JOIN services WHERE kind IN ('not_json', 'bad_schema')""",
+    "dlv",
+    "reasons",
+    "services",
+)
+cte(
+    "routed",
+    """SELECT *, ms + 1000 AS failed_ms, off * 3 + ord AS pos,
+    CASE WHEN err = 'RetryableError' AND 3 > att THEN 'retry' ELSE 'dlq' END AS destination,
+    CASE WHEN err = 'RetryableError' AND 3 > att THEN 'RETRY_SCHEDULED' WHEN err = 'RetryableError' THEN 'RETRY_EXHAUSTED'
+         ELSE 'POISON_MESSAGE' END AS marker,
+    CASE WHEN err = 'RetryableError' AND 3 > att THEN att + 1 END AS next_attempt,
+    CASE att + 1 WHEN 2 THEN 30 ELSE 120 END AS wait_s FROM failed""",
+    "failed",
+)
+cte("lane", "SELECT *, failed_ms + wait_s * 1000 AS due_ms FROM routed WHERE destination = 'retry'", "routed")
+cte("dlq", "SELECT * FROM routed WHERE destination = 'dlq'", "routed")
+
+
+def iso(ms: str) -> str:
+    """DuckDB expression printing epoch milliseconds as UTC ISO-8601 with microseconds."""
+    return f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"

@@ -33,6 +33,8 @@ def build_session(app: str = "eventfold", master: str | None = None, **conf) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Call-site capture on every column expression slows down plan building.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for name, value in {**SESSION_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventfold.functions import headers as H
+from eventfold.plans.hot import int_div
 from eventfold.schemas import LIFECYCLE_TOPIC, LOG_SCHEMA
 
 PARTITIONS = 3
@@ -109,8 +111,8 @@ def lifecycle_rows(spark: SparkSession, sf_dir: str, partitions: int = PARTITION
         F.col("o_orderdate").alias("ordered"),
         F.explode(_steps(k, n)).alias("r"),
     )
-    place = F.floor(F.col("k") / partitions).cast("bigint")
-    offset = (F.floor(place / COHORT).cast("bigint") * SLOTS + F.col("r.slot")) * COHORT + place % COHORT
+    place = int_div(F.col("k"), partitions)
+    offset = (int_div(place, COHORT) * SLOTS + F.col("r.slot")) * COHORT + place % COHORT
     return base.select(
         "k",
         "ck",
@@ -175,7 +177,7 @@ def encode(rows: DataFrame, topic: str = LIFECYCLE_TOPIC) -> DataFrame:
         F.lit("}"),
     )
     head = F.concat(F.lit('{"order_id":"'), c("order_id"), F.lit('",'))
-    flaw = F.floor(c("k") / 41).cast("bigint") % 6
+    flaw = int_div(c("k"), 41) % 6
     bad = (
         F.when(flaw == 0, F.concat(head, F.lit('"this_field":"is not the schema"}')))
         .when(flaw == 1, F.concat(head, F.lit('"sequence":0,"event_type":"PACKED"}')))
@@ -208,7 +210,23 @@ def encode(rows: DataFrame, topic: str = LIFECYCLE_TOPIC) -> DataFrame:
         "timestamp",
         F.encode(c("order_id"), "UTF-8").alias("key"),
         F.encode(value, "UTF-8").alias("value"),
-        F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
+        F.when(c("kind") != "tombstone", _headers(c("k"), c("slot"))).alias("headers"),
+    )
+
+
+def _headers(k: Column, slot: Column) -> Column:
+    """Some records arrive as later attempts; half of the repeats are meant for one service."""
+
+    def head(when: Column, name: str, text: str):
+        return F.when(when, F.struct(F.lit(name).alias("key"), F.encode(F.lit(text), "UTF-8").alias("value")))
+
+    return F.array_compact(
+        F.array(
+            head(k % 10 == 3, H.ATTEMPT, "2"),
+            head(k % 10 == 7, H.ATTEMPT, "3"),
+            head(k % 10 == 9, H.ATTEMPT, "not a number"),
+            head(slot.isin(3, 5, 7, 10) & (k % 2 == 0), H.RETRY_TARGET, "notification"),
+        )
     )
 
 
@@ -245,7 +263,7 @@ def fixture_outcome(order_id: Column, sequence: Column, service: Column, attempt
     poison_at = n % 47 == 0
     flaky_at = (n % 43 == 0) & ~poison_at & (service == "notification")
     p_class, p_text = fail_lever("poison", order_id, sequence, attempt, target=poison_at)
-    t_class, t_text = fail_lever("transient", order_id, sequence, attempt, target=flaky_at, attempts=2)
+    t_class, t_text = fail_lever("transient", order_id, sequence, attempt, target=flaky_at, attempts=3)
     return F.coalesce(p_class, t_class), F.coalesce(p_text, t_text)
 
 
