@@ -40,7 +40,7 @@ def new_event_id(topic: Column, partition: Column, offset: Column) -> Column:
 
 def describe_error(message: Column) -> Column:
     """One line of error text, trimmed and cut."""
-    flat = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), "\n", " "))
+    flat = F.regexp_replace(F.replace(F.coalesce(message, F.lit("")), F.lit("\n"), F.lit(" ")), r"^\s+|\s+$", "")
     shown = F.when(flat == "", F.lit("<no message>")).otherwise(flat)
     return F.when(
         F.length(shown) > MAX_ERROR_CHARS,
