@@ -109,35 +109,29 @@ def parse_event(
         .when(F.size("_own") > 0, F.col("_own"))
         .otherwise(F.col("_shape"))
     )
-    # The partition id pins the verdict to this step. Without it a filter on the verdict would
-    # be pushed to the scan and the whole parse repeated inside the filter condition.
-    verdict = (F.size("reasons") > 0) & (F.spark_partition_id() >= 0)
-    judged = typed.withColumn("reasons", reasons).withColumn("is_poison", verdict)
+    judged = typed.withColumn("reasons", reasons).withColumn("is_poison", F.size("reasons") > 0)
     good = ~F.col("is_poison") & ~F.col("is_tombstone")
-    out = [
-        *columns,
-        "is_tombstone",
+    made_id = X.new_event_id(F.col("topic"), F.col("partition"), F.col("offset"))
+    event = F.struct(
         "is_poison",
         "reasons",
-        F.when(
-            good, F.coalesce("_event_id", X.new_event_id(F.col("topic"), F.col("partition"), F.col("offset")))
-        ).alias("event_id"),
+        F.when(good, F.coalesce("_event_id", made_id)).alias("event_id"),
         F.when(good, F.col("_order_id")).alias("order_id"),
         F.when(good, F.col("_sequence")).alias("sequence"),
         F.when(good, F.col("_event_type")).alias("event_type"),
         F.when(good, F.coalesce("_occurred_at", "timestamp")).alias("occurred_at"),
-    ]
-    if with_payload:
-        given = F.when(exact, F.try_variant_get(F.try_parse_json("_text"), "$.payload", "variant")).otherwise(
-            F.col("raw_payload")
-        )
-        payload = F.coalesce(given, F.parse_json(F.lit("{}")))
-        out += [
-            F.when(good, payload).alias("payload"),
-            F.when(good, F.col("created")).alias("created"),
-            F.when(good, F.col("shipped")).alias("shipped"),
-        ]
-    return judged.select(*out)
+        *([F.when(good, F.col(c)).alias(c) for c in ("created", "shipped")] if with_payload else []),
+    )
+    # Exploding a one-element array ends the projection chain here. Otherwise every filter or
+    # join key on a decoded field is traced back through it, and the plan repeats the parse.
+    out = judged.select(*columns, "is_tombstone", "_text", F.explode(F.array(event)).alias("e")).select(
+        *columns, "is_tombstone", "_text", "e.*"
+    )
+    if not with_payload:
+        return out.drop("_text")
+    given = F.try_variant_get(F.try_parse_json("_text"), "$.payload", "variant")
+    payload = F.when(F.col("order_id").isNotNull(), F.coalesce(given, F.parse_json(F.lit("{}"))))
+    return out.select(*[c for c in out.columns if c != "_text"], payload.alias("payload"))
 
 
 def poison_message(reasons: Column) -> Column:

@@ -408,7 +408,7 @@ def origin_of(spark, d):
 @register(
     "describe_error",
     using(
-        """SELECT doc_id, CASE WHEN t = '' THEN '<no message>' WHEN length(t) > 500 THEN substr(t, 1, 500) || '…' ELSE t END AS shown
+        r"""SELECT doc_id, CASE WHEN t = '' THEN '<no message>' WHEN length(t) > 500 THEN substr(t, 1, 500) || '…' ELSE t END AS shown
         FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS t FROM documents)""",
         "base",
     ),

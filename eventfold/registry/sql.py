@@ -187,3 +187,12 @@ cte("dlq", "SELECT * FROM routed WHERE destination = 'dlq'", "routed")
 def iso(ms: str) -> str:
     """DuckDB expression printing epoch milliseconds as UTC ISO-8601 with microseconds."""
     return f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
+
+#: The log as one reader without failures sees it.
+cte(
+    "own",
+    """SELECT log.*, 'orders-service' AS group_id, kind = 'tombstone' AS stone, CAST(NULL AS VARCHAR) AS err
+    FROM log WHERE kind IN ('event', 'tombstone') AND target IS NULL""",
+    "log",
+)
+fold_ctes("t", "own", ("own",))
