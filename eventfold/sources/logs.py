@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.schemas import LOG_SCHEMA
+from eventfold.schemas import LOG_COLUMNS, LOG_SCHEMA
 
 
 def read_log(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def kafka_options(
 
 
 def _log_columns(raw: DataFrame) -> DataFrame:
-    return raw.select(*[F.col(c) for c in LOG_SCHEMA.fieldNames()])
+    return raw.select(*[F.col(c) for c in LOG_COLUMNS])
 
 
 def read_kafka(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
