@@ -22,11 +22,10 @@ _FOLD_STATE = "folds map<string,struct<last_sequence:bigint,state:string,last_ev
 
 
 _FOLD_FIELDS = ("last_sequence", "state", "last_event_id", "handled_count")
-_WAIT_FIELDS = ("topic", "partition", "key", "value", "due_ms")
 
 
 def _values(struct, fields) -> tuple:
-    """A stored struct as a tuple; it arrives as a dict inside a map and as a row elsewhere."""
+    """A struct stored inside a map, where it arrives as a dict, as a tuple."""
     return tuple(struct[f] for f in fields)
 
 
@@ -176,7 +175,7 @@ class ReleaseProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        due = [(k[0], _values(v, _WAIT_FIELDS)) for k, v in self.waiting.iterator() if v["due_ms"] <= now]
+        due = [(k[0], tuple(v)) for k, v in self.waiting.iterator() if v[4] <= now]
         for offset, w in due:
             self.waiting.removeKey((offset,))
             yield self._release(offset, w, now)
