@@ -137,48 +137,68 @@ def route_failures(
     )
 
 
-def _record(rows: DataFrame, topic: Column | str, header_pairs: list[Column], extra: Sequence = ()) -> DataFrame:
+def _record(rows: DataFrame, topic: Column | str, headers_map: Column, extra: Sequence[str] = ()) -> DataFrame:
     topic_col = F.lit(topic) if isinstance(topic, str) else topic
     return rows.select(
         topic_col.alias("topic"),
         F.col("partition"),
         F.col("key"),
         F.col("value"),
-        F.create_map(*header_pairs).alias("headers_map"),
-        *extra,
+        headers_map.alias("headers_map"),
+        *[F.col(c) for c in extra],
     )
 
 
-def to_retry(routed: DataFrame, now: Column, policy: RetryPolicy = RetryPolicy(), keep: Sequence[str] = ()) -> DataFrame:
-    """Records for the retry log: original key and value, when the next attempt is due, and why."""
-    rows = routed.where(F.col("destination") == "retry")
-    due = after(now, backoff(F.col("next_attempt"), policy))
-    pairs = H.provenance(F.col("service"), F.col("group_id"), F.col("origin")) + [
-        F.lit(H.ATTEMPT), F.col("next_attempt").cast("string"),
-        F.lit(H.RETRY_AT), H.iso_text(due),
+def _why(now: Column) -> list[Column]:
+    return [
         F.lit(H.ERROR_CLASS), F.col("error_class"),
         F.lit(H.ERROR_MESSAGE), X.describe_error(F.col("error_message")),
         F.lit(H.FAILED_AT), H.iso_text(now),
     ]
-    return _record(rows, RETRY_TOPIC, pairs, [F.col(c) for c in keep])
+
+
+def _from() -> list[Column]:
+    return H.provenance(F.col("service"), F.col("group_id"), F.col("origin"))
+
+
+def _retry_headers(now: Column, policy: RetryPolicy) -> Column:
+    due = after(now, backoff(F.col("next_attempt"), policy))
+    return F.create_map(
+        *_from(), F.lit(H.ATTEMPT), F.col("next_attempt").cast("string"), F.lit(H.RETRY_AT), H.iso_text(due), *_why(now)
+    )
+
+
+def _dead_headers(now: Column) -> Column:
+    return F.create_map(*_from(), F.lit(H.ATTEMPTS_MADE), F.col("attempts_made").cast("string"), *_why(now))
+
+
+def to_retry(routed: DataFrame, now: Column, policy: RetryPolicy = RetryPolicy(), keep: Sequence[str] = ()) -> DataFrame:
+    """Records for the retry log: original key and value, when the next attempt is due, and why."""
+    rows = routed.where(F.col("destination") == "retry")
+    return _record(rows, RETRY_TOPIC, _retry_headers(now, policy), keep)
 
 
 def to_dead_letter(routed: DataFrame, now: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Terminal records, with the attempts spent and the last error."""
-    rows = routed.where(F.col("destination") == "dlq")
-    pairs = H.provenance(F.col("service"), F.col("group_id"), F.col("origin")) + [
-        F.lit(H.ATTEMPTS_MADE), F.col("attempts_made").cast("string"),
-        F.lit(H.ERROR_CLASS), F.col("error_class"),
-        F.lit(H.ERROR_MESSAGE), X.describe_error(F.col("error_message")),
-        F.lit(H.FAILED_AT), H.iso_text(now),
-    ]
-    return _record(rows, DLQ_TOPIC, pairs, [F.col(c) for c in keep])
+    return _record(routed.where(F.col("destination") == "dlq"), DLQ_TOPIC, _dead_headers(now), keep)
+
+
+def to_failure_logs(
+    routed: DataFrame, now: Column, policy: RetryPolicy = RetryPolicy(), keep: Sequence[str] = ()
+) -> DataFrame:
+    """Records for both logs in one pass; the topic tells them apart."""
+    waits = F.col("destination") == "retry"
+    return _record(
+        routed,
+        F.when(waits, F.lit(RETRY_TOPIC)).otherwise(F.lit(DLQ_TOPIC)),
+        F.when(waits, _retry_headers(now, policy)).otherwise(_dead_headers(now)),
+        keep,
+    )
 
 
 def to_source(due: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Due retry records go back to the log they came from, for one service, with the attempt carried on."""
-    pairs = H.provenance(F.col("service"), F.col("group_id"), F.col("origin")) + [
-        F.lit(H.ATTEMPT), F.col("attempt").cast("string"),
-        F.lit(H.RETRY_TARGET), F.col("service"),
-    ]
-    return _record(due, F.col("origin.topic"), pairs, [F.col(c) for c in keep])
+    headers_map = F.create_map(
+        *_from(), F.lit(H.ATTEMPT), F.col("attempt").cast("string"), F.lit(H.RETRY_TARGET), F.col("service")
+    )
+    return _record(due, F.col("origin.topic"), headers_map, keep)

@@ -14,7 +14,7 @@ from eventfold.operators.failures import (
     failed_deliveries,
     route_failures,
     to_dead_letter,
-    to_retry,
+    to_failure_logs,
     to_source,
 )
 from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec
@@ -145,11 +145,9 @@ def retry_rounds(
         now = F.col("timestamp") + F.make_dt_interval(secs=F.lit(1))
         failed = route_failures(failed_deliveries(source, services, handler), policy)
         failed = failed.withColumn("position", F.col("offset") * n + ordinal).withColumn("moment", now)
-        keep = ["position", "moment", "attempt", "service", "group_id"]
-        waits = as_log(to_retry(failed, F.col("moment"), policy, keep), F.col("position"), F.col("moment"))
-        dead = as_log(to_dead_letter(failed, F.col("moment"), keep), F.col("position"), F.col("moment"))
+        records = to_failure_logs(failed, F.col("moment"), policy, ["position", "moment"])
         target = f"{path}/round={attempt_round}"
-        waits.unionByName(dead).write.mode("overwrite").parquet(target)
+        as_log(records, F.col("position"), F.col("moment")).write.mode("overwrite").parquet(target)
         done = spark.read.schema(LOG_SCHEMA).parquet(target)
         written.append(done.withColumn("round", F.lit(attempt_round)))
         lane = with_retry_fields(done.where(F.col("topic") == RETRY_TOPIC))

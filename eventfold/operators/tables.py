@@ -25,9 +25,7 @@ def table_from_events(log: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE) ->
         "order_id", "state", "last_sequence"
     )
     made = parse_event(log, lifecycle=lifecycle).where(F.col("event_type") == "ORDER_CREATED")
-    newest = made.groupBy("order_id").agg(
-        F.max(F.struct("offset", "topic", "partition")).alias("at")
-    ).select("at.topic", "at.partition", "at.offset")
+    newest = made.groupBy("topic", "partition", "order_id").agg(F.max("offset").alias("offset")).drop("order_id")
     created = made.select("topic", "partition", "offset", "order_id", "created.*").join(
         newest, ["topic", "partition", "offset"], "left_semi"
     )

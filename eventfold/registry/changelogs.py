@@ -11,7 +11,7 @@ from eventfold.operators.tables import snapshot_json, table_from_events
 from eventfold.registry import register
 from eventfold.registry.folding import hist
 from eventfold.registry.sql import cte, using
-from eventfold.session import work_dir
+from eventfold.session import work_dir, written
 from eventfold.sources.order_log import activity_log, lifecycle_log
 
 CHECKPOINT = 30000
@@ -39,6 +39,11 @@ def changelog(spark, d):
     return FO.changelog(hist(spark, d))
 
 
+def changelog_table(spark, d):
+    """The changelog as the written table it is for whoever rebuilds from it."""
+    return written(changelog(spark, d), "changelog")
+
+
 def shown(log, *more):
     return log.select(
         "topic", "partition", "offset", X.key_text(F.col("key")).alias("key_text"),
@@ -81,7 +86,7 @@ def compact_latest(spark, d):
     using(f"SELECT {_CLOG} FROM clog_state WHERE back = 1", "clog_state"),
 )
 def compact_changelog(spark, d):
-    return shown(C.compact_latest(changelog(spark, d)))
+    return shown(C.compact_latest(changelog_table(spark, d)))
 
 
 def _cutoff(day):
@@ -128,7 +133,7 @@ def tombstone_gc(spark, d):
     ),
 )
 def restore_full(spark, d):
-    return C.restore_full(changelog(spark, d))[1]
+    return C.restore_full(changelog_table(spark, d))[1]
 
 
 @register(
@@ -136,12 +141,12 @@ def restore_full(spark, d):
     using(f"SELECT {_CLOG} FROM clog_state WHERE back = 1 AND stored IS NOT NULL", "clog_state"),
 )
 def restore_full_state(spark, d):
-    return shown(C.restore_full(changelog(spark, d))[0])
+    return shown(C.restore_full(changelog_table(spark, d))[0])
 
 
 def _checkpointed(spark, d):
     """State stored at one position of partitions 0 and 1; partition 2 has no checkpoint."""
-    log = changelog(spark, d)
+    log = changelog_table(spark, d)
     stored = C.current_table(log.where((F.col("offset") < CHECKPOINT) & (F.col("partition") < 2)))
     marks = log.where(F.col("partition") < 2).select("topic", "partition").distinct().withColumn(
         "position", F.lit(CHECKPOINT).cast("bigint")
@@ -178,7 +183,7 @@ def restore_checkpoint_report(spark, d):
 def rebuild_partitions(spark, d):
     """One partition of one group is spoiled on disk, then rebuilt from the changelog."""
     path = work_dir(spark, "state")
-    log = changelog(spark, d).drop("group_id")
+    log = changelog_table(spark, d).drop("group_id")
     hurt = (F.col("topic") == "order-fold.inventory-service") & (F.col("partition") == 1)
     spoiled = F.when(hurt, F.encode(F.lit("spoiled"), "UTF-8")).otherwise(F.col("value"))
     C.write_state(C.compact_latest(log).withColumn("value", spoiled), path)

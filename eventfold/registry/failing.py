@@ -11,6 +11,7 @@ from eventfold.operators import failures as O
 from eventfold.operators import retry as R
 from eventfold.registry import register
 from eventfold.registry.sql import cte, iso, using
+from eventfold.session import written
 from eventfold.sources.order_log import START_MILLIS, fixture_handler, lifecycle_log, order_number
 
 #: Log time at which the due gates are read: 100 seconds in.
@@ -36,16 +37,14 @@ def routed(spark, d):
 
 def retry_lane(spark, d):
     keep = ["position", "moment"]
-    return R.as_log(
-        O.to_retry(routed(spark, d), F.col("moment"), keep=keep), F.col("position"), F.col("moment")
-    )
+    records = O.to_retry(routed(spark, d), F.col("moment"), keep=keep)
+    return R.as_log(records, F.col("position"), F.col("moment"))
 
 
 def dead_letters(spark, d):
     keep = ["position", "moment"]
-    return R.as_log(
-        O.to_dead_letter(routed(spark, d), F.col("moment"), keep=keep), F.col("position"), F.col("moment")
-    )
+    records = O.to_dead_letter(routed(spark, d), F.col("moment"), keep=keep)
+    return R.as_log(records, F.col("position"), F.col("moment"))
 
 
 def flat(log, *names):
@@ -170,12 +169,14 @@ def _gate(rows):
 
 @register("due_gate_hol", _gate_sql("p"))
 def due_gate_hol(spark, d):
-    return _gate(R.due_gate_hol(waiting(spark, d), now(), block_rows=4096))
+    lane = R.with_retry_fields(written(retry_lane(spark, d), "lane"))
+    return _gate(R.due_gate_hol(lane, now(), block_rows=4096))
 
 
 @register("due_gate_tiered", _gate_sql("p, next_attempt"))
 def due_gate_tiered(spark, d):
-    return _gate(R.due_gate_tiered(waiting(spark, d), now(), block_rows=4096))
+    lane = R.with_retry_fields(written(retry_lane(spark, d), "lane"))
+    return _gate(R.due_gate_tiered(lane, now(), block_rows=4096))
 
 
 @register(

@@ -10,6 +10,7 @@ from eventfold.operators.decode import parse_event
 from eventfold.registry import register
 from eventfold.registry.decoding import events
 from eventfold.registry.sql import using
+from eventfold.session import written
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 
 
@@ -85,7 +86,8 @@ def analytics_counts(spark, d):
     ),
 )
 def analytics_running(spark, d):
-    return S.analytics_running(handled(spark, d), block_rows=8192).select(
+    slim = handled(spark, d).select("topic", "partition", "offset", "event_type")
+    return S.analytics_running(written(slim, "handled"), block_rows=8192).select(
         "partition", "offset", "event_type", "tally"
     )
 

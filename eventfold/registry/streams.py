@@ -62,7 +62,7 @@ def guard_stream(spark, d):
 
 
 def _lane_counts(spark, path):
-    log = spark.read.parquet(f"{path}/retry").unionByName(spark.read.parquet(f"{path}/dlq"))
+    log = spark.read.parquet(path)
     m = H.decode_headers(F.col("headers"))
     return log.select(
         "topic", F.try_element_at(m, F.lit(H.SERVICE)).alias("service"), F.try_element_at(m, F.lit(H.ERROR_CLASS)).alias("error_class")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the library relies on. UTC keeps log times comparable; duplicate keys in a JSON
 #: object resolve to the last one, as most JSON readers do.
@@ -51,3 +51,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-eventfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write rows to the shared folder and read them back.
+
+    For a narrow result of costly work that is read more than once, such as decoded
+    columns: it is computed once, and a lost executor does not bring the work back.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,7 @@ from eventfold.operators.failures import (
     RetryPolicy,
     failed_deliveries,
     route_failures,
-    to_dead_letter,
-    to_retry,
+    to_failure_logs,
 )
 from eventfold.operators.retry import as_log, with_retry_fields
 from eventfold.operators.routing import branch, with_delivery
@@ -95,8 +94,8 @@ def failure_sink(
 ):
     """A ``foreachBatch`` function sending failed deliveries to the retry and dead-letter logs.
 
-    Each output of a batch has its own folder and is rewritten if the batch runs again, so
-    neither log holds a record twice.
+    Both are written in one pass over the batch, into a folder that is rewritten if the batch
+    runs again, so neither log holds a record twice.
     """
     ordinal = F.lit(0)
     for i, s in enumerate(services):
@@ -106,12 +105,8 @@ def failure_sink(
         moment = F.col("timestamp") + F.make_dt_interval(secs=F.lit(1))
         failed = route_failures(failed_deliveries(batch, services, handler), policy)
         placed = failed.withColumn("position", F.col("offset") * len(services) + ordinal).withColumn("moment", moment)
-        keep = ["position", "moment"]
-        for name, rows in (
-            ("retry", to_retry(placed, F.col("moment"), policy, keep)),
-            ("dlq", to_dead_letter(placed, F.col("moment"), keep)),
-        ):
-            write_batch(as_log(rows, F.col("position"), F.col("moment")), f"{path}/{name}", batch_id)
+        records = to_failure_logs(placed, F.col("moment"), policy, ["position", "moment"])
+        write_batch(as_log(records, F.col("position"), F.col("moment")), path, batch_id)
 
     return write
 
