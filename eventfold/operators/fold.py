@@ -20,10 +20,15 @@ from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
 from eventfold.plans.hot import BLOCK_ROWS, block_of, hot_keys
+from eventfold.plans.scan import running
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
 
 GUARDED = "guarded"
 LAST_WRITE = "last_write"
+#: Order columns of a log read from several topics.
+MERGED = ("arrival", "topic_rank", "offset")
+#: Width of a hot order's blocks when records are ordered by arrival.
+BLOCK_MICROS = 60_000_000
 
 _SLIM = [
     "topic", "partition", "offset", "timestamp", "order_id", "sequence", "event_type", "event_id",
@@ -48,7 +53,8 @@ def deliveries(
     *,
     hot: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
-    order: str = "offset",
+    merge_topics: Sequence[str] = (),
+    block_micros: int = BLOCK_MICROS,
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
     snapshot_topic: str = SNAPSHOT_TOPIC,
 ) -> DataFrame:
@@ -57,18 +63,24 @@ def deliveries(
     Decodes, drops the payload, shuffles once by order (and block, for hot orders) and only
     then fans out to the groups. ``hot`` lists orders to cut into blocks; left out, they are
     found with one pass over the key column.
+
+    Offsets order the records of one topic. When deletes arrive on a topic of their own,
+    ``merge_topics`` names the topics, and :func:`merged_order` interleaves them; pass
+    ``MERGED`` as the order of :func:`history` then. Hot orders are cut by time in that case.
     """
     if hot is None:
         hot = hot_keys(log, X.key_text(F.col("key")), block_rows)
     decoded = with_delivery(parse_event(log, with_payload=False, lifecycle=lifecycle))
-    extra = [] if order in _SLIM else [order]
     slim = decoded.withColumn(
         "order_id", F.when(F.col("is_tombstone"), X.key_text(F.col("key"))).otherwise(F.col("order_id"))
-    ).select(*_SLIM, *extra)
+    ).select(*_SLIM)
+    if merge_topics:
+        slim = merged_order(slim, merge_topics, block_rows)
     slim = slim.where(~F.col("is_poison") & (F.col("is_tombstone") | (F.col("topic") != snapshot_topic)))
+    along, width = (F.col("arrival"), block_micros) if merge_topics else (F.col("offset"), block_rows)
     # Without hot orders the block is a constant, which must stay out of the partitioning:
     # the planner drops constants from the windows' keys and would shuffle a second time.
-    placed = slim.withColumn("block", block_of(F.col("order_id"), F.col(order), hot, block_rows))
+    placed = slim.withColumn("block", block_of(F.col("order_id"), along, hot, width))
     placed = placed.repartition("order_id", "block") if hot else placed.repartition("order_id")
     routed = fan_out(placed, services).withColumn("route", branch(F.col("service"), snapshot_topic))
     mine = routed.where(F.col("route").isin("event", "tombstone")).drop("handled_types", "is_poison")
@@ -79,12 +91,25 @@ def deliveries(
     )
 
 
+def merged_order(rows: DataFrame, topics: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the columns of ``MERGED``, one order over several topics that keeps each topic's own.
+
+    A record counts as arriving no earlier than those before it in its partition, which is
+    a running maximum of timestamps. Equal arrivals go by the topics' order given.
+    """
+    rank = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic"))
+    timed = running(
+        rows, ["topic", "partition"], "offset", {"arrival": ("max", F.unix_micros("timestamp"))}, block_rows
+    )
+    return timed.withColumn("topic_rank", rank)
+
+
 def history(
     rows: DataFrame,
     mode: str = GUARDED,
     *,
     resets: Sequence[Reset] = (),
-    order: str = "offset",
+    order: Sequence[str] = ("offset",),
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
 ) -> DataFrame:
     """State of each order before (``prev``, ``prev_handled``) and after (``cur``, ``handled``) every row.
@@ -94,7 +119,6 @@ def history(
     memory. ``is_last`` marks the newest row of an order in its group.
     """
     keys = ["group_id", "order_id", "lost"]
-    pos = F.col(order)
     lost = F.lit(0)
     for r in resets:
         hit = (
@@ -105,9 +129,9 @@ def history(
         )
         lost = lost + hit.cast("int")
     if mode == GUARDED:
-        ranks = [F.col("sequence").alias("r1"), (-pos).alias("r2")]
+        ranks = [F.col("sequence").alias("r")] + [(-F.col(c)).alias(f"p{i}") for i, c in enumerate(order)]
     elif mode == LAST_WRITE:
-        ranks = [pos.alias("r1"), F.lit(0).cast("bigint").alias("r2")]
+        ranks = [F.col(c).alias(f"p{i}") for i, c in enumerate(order)]
     else:
         raise ValueError(f"unknown fold mode {mode!r}")
     value = F.struct(
@@ -116,7 +140,7 @@ def history(
         lifecycle.resulting(F.col("event_type")).alias("state"),
         F.col("event_id").alias("event_id"),
     )
-    along = Window.partitionBy(*keys, "block").orderBy(order)
+    along = Window.partitionBy(*keys, "block").orderBy(*order)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     stone = F.col("is_tombstone")
 

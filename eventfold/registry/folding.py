@@ -8,7 +8,7 @@ from eventfold.functions import text as X
 from eventfold.operators import fold as O
 from eventfold.registry import register
 from eventfold.registry.sql import using
-from eventfold.schemas import LIFECYCLE_TOPIC
+from eventfold.schemas import LIFECYCLE_TOPIC, SNAPSHOT_TOPIC
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 
 FOLD_COLUMNS = "group_id, order_id, last_sequence, state, last_event_id, handled_count"
@@ -31,6 +31,28 @@ register("fold_last_write", using(f"SELECT {FOLD_COLUMNS} FROM w_fold", "w_fold"
 )
 
 
+def two_topics(spark, d):
+    """Deletes moved to the snapshot topic at offsets of their own, among snapshots to be skipped."""
+    log = lifecycle_log(spark, d)
+    gone = F.col("value").isNull()
+    keep = log.where(~gone)
+    moved = log.where(gone).withColumn("topic", F.lit(SNAPSHOT_TOPIC)).withColumn("offset", F.col("offset") * 2 + 1)
+    snapshots = (
+        log.where(~gone & (F.col("offset") % 16 == 0))
+        .withColumn("topic", F.lit(SNAPSHOT_TOPIC))
+        .withColumn("offset", F.col("offset") * 2)
+    )
+    return keep.unionByName(moved).unionByName(snapshots)
+
+
+@register("fold_two_topics", using(f"SELECT {FOLD_COLUMNS} FROM g_fold", "g_fold"))
+def fold_two_topics(spark, d):
+    rows = O.deliveries(
+        two_topics(spark, d), handler=fixture_handler, merge_topics=(LIFECYCLE_TOPIC, SNAPSHOT_TOPIC)
+    )
+    return O.final_folds(O.history(rows, order=O.MERGED))
+
+
 @register(
     "fold_per_group",
     using(

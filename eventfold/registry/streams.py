@@ -9,8 +9,10 @@ from eventfold.operators.services import ORDER_SERVICES
 from eventfold.operators.services import analytics_counts as count_types
 from eventfold.registry import register
 from eventfold.registry.commands import commands, guarded
+from eventfold.registry.failing import retry_lane
 from eventfold.registry.serving import handled_rows
 from eventfold.registry.sql import using
+from eventfold.schemas import DLQ_TOPIC, LIFECYCLE_TOPIC, RETRY_TOPIC
 from eventfold.session import configure, work_dir
 from eventfold.sources.logs import stream_log
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
@@ -61,12 +63,10 @@ def guard_stream(spark, d):
     return spark.read.parquet(out)
 
 
-def _lane_counts(spark, path):
-    log = spark.read.parquet(path)
-    m = H.decode_headers(F.col("headers"))
-    return log.select(
-        "topic", F.try_element_at(m, F.lit(H.SERVICE)).alias("service"), F.try_element_at(m, F.lit(H.ERROR_CLASS)).alias("error_class")
-    ).groupBy("topic", "service", "error_class").agg(F.count(F.lit(1)).alias("n"))
+def failure_logs(spark, d):
+    path, ckpt = work_dir(spark, "failures"), work_dir(spark, "ckpt")
+    J.run_batches(streamed(spark, d), J.failure_sink(path, ORDER_SERVICES, fixture_handler), ckpt)
+    return spark.read.parquet(path)
 
 
 @register(
@@ -77,9 +77,49 @@ def _lane_counts(spark, path):
     ),
 )
 def sink_failures(spark, d):
-    path, ckpt = work_dir(spark, "failures"), work_dir(spark, "ckpt")
-    J.run_batches(streamed(spark, d), J.failure_sink(path, ORDER_SERVICES, fixture_handler), ckpt)
-    return _lane_counts(spark, path)
+    m = H.decode_headers(F.col("headers"))
+    return failure_logs(spark, d).select(
+        "topic", F.try_element_at(m, F.lit(H.SERVICE)).alias("service"), F.try_element_at(m, F.lit(H.ERROR_CLASS)).alias("error_class")
+    ).groupBy("topic", "service", "error_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "sink_retry",
+    using('SELECT p AS "partition", pos AS "offset", CAST(next_attempt AS VARCHAR) AS attempt FROM lane', "lane"),
+)
+def sink_retry(spark, d):
+    return failure_logs(spark, d).where(F.col("topic") == RETRY_TOPIC).select(
+        "partition", "offset", H.header(F.col("headers"), H.ATTEMPT).alias("attempt")
+    )
+
+
+@register(
+    "sink_dlq",
+    using('SELECT p AS "partition", pos AS "offset", CAST(att AS VARCHAR) AS attempts_made FROM dlq', "dlq"),
+)
+def sink_dlq(spark, d):
+    return failure_logs(spark, d).where(F.col("topic") == DLQ_TOPIC).select(
+        "partition", "offset", H.header(F.col("headers"), H.ATTEMPTS_MADE).alias("attempts_made")
+    )
+
+
+@register(
+    "sink_source",
+    using(
+        """SELECT 'order-lifecycle' AS topic, p AS "partition", pos AS "offset", service AS retry_target, CAST(next_attempt AS VARCHAR) AS attempt FROM lane""",
+        "lane",
+    ),
+)
+def sink_source(spark, d):
+    """The retry topic as a stream; what is due goes back to its source log."""
+    configure(spark)
+    lane, out, ckpt = (work_dir(spark, n) for n in ("lane", "released", "ckpt"))
+    retry_lane(spark, d).write.parquet(lane)
+    J.run_batches(stream_log(spark, lane), J.release_sink(out), ckpt)
+    h = F.col("headers")
+    return spark.read.parquet(out).where(F.col("topic") == LIFECYCLE_TOPIC).select(
+        "topic", "partition", "offset", H.header(h, H.RETRY_TARGET).alias("retry_target"), H.header(h, H.ATTEMPT).alias("attempt")
+    )
 
 
 @register(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.plans.small import fixed
+from eventfold.plans.small import checked_broadcast, fixed
 
 #: A log may not have more partitions than this; the list of them travels to the driver.
 MAX_PARTITIONS = 200_000
@@ -35,8 +35,10 @@ def message_count(bounds: DataFrame) -> DataFrame:
 
 
 def read_bounded(log: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows inside the bounds, which must come from :func:`fixed_bounds`."""
-    b = F.broadcast(bounds.select("topic", "partition", F.col("low").alias("_low"), F.col("high").alias("_high")))
+    """Rows inside the bounds, one row per partition as :func:`fixed_bounds` gives them."""
+    b = checked_broadcast(
+        bounds.select("topic", "partition", F.col("low").alias("_low"), F.col("high").alias("_high")), MAX_PARTITIONS
+    )
     inside = (F.col("offset") >= F.col("_low")) & (F.col("offset") < F.col("_high"))
     return log.join(b, ["topic", "partition"]).where(inside).select(*log.columns)
 

@@ -16,7 +16,7 @@ from eventfold.operators.failures import (
     route_failures,
     to_failure_logs,
 )
-from eventfold.operators.retry import as_log, with_retry_fields
+from eventfold.operators.retry import as_log, give_up, judge_due, release, with_retry_fields
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler
 from eventfold.plans.hot import int_div
@@ -111,6 +111,23 @@ def failure_sink(
     return write
 
 
+def release_sink(path: str, services: Sequence[ServiceSpec] = ORDER_SERVICES):
+    """A ``foreachBatch`` function putting due records back on their source log.
+
+    Records nothing can run go to the dead-letter log, in the same repeatable write.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        judged = judge_due(with_retry_fields(batch), services)
+        moment = F.coalesce("due_at", "timestamp")
+        placed = judged.withColumn("moment", moment)
+        back = release(placed, ["offset", "moment"])
+        dead = give_up(placed, F.col("moment"), ["offset", "moment"])
+        write_batch(as_log(back.unionByName(dead), F.col("offset"), F.col("moment")), path, batch_id)
+
+    return write
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available into a Parquet table, then stop."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
