@@ -75,7 +75,7 @@ def deliveries(
         "order_id", F.when(F.col("is_tombstone"), X.key_text(F.col("key"))).otherwise(F.col("order_id"))
     ).select(*_SLIM)
     if merge_topics:
-        slim = merged_order(slim, merge_topics, block_rows)
+        slim = merged_order(slim, merge_topics, block_rows, log)
     slim = slim.where(~F.col("is_poison") & (F.col("is_tombstone") | (F.col("topic") != snapshot_topic)))
     along, width = (F.col("arrival"), block_micros) if merge_topics else (F.col("offset"), block_rows)
     # Without hot orders the block is a constant, which must stay out of the partitioning:
@@ -91,15 +91,18 @@ def deliveries(
     )
 
 
-def merged_order(rows: DataFrame, topics: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def merged_order(
+    rows: DataFrame, topics: Sequence[str], block_rows: int = BLOCK_ROWS, log: DataFrame | None = None
+) -> DataFrame:
     """Add the columns of ``MERGED``, one order over several topics that keeps each topic's own.
 
     A record counts as arriving no earlier than those before it in its partition, which is
-    a running maximum of timestamps. Equal arrivals go by the topics' order given.
+    a running maximum of timestamps. Equal arrivals go by the topics' order given. ``log``,
+    when ``rows`` were decoded from it, supplies the block summaries without the decoding.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic"))
     timed = running(
-        rows, ["topic", "partition"], "offset", {"arrival": ("max", F.unix_micros("timestamp"))}, block_rows
+        rows, ["topic", "partition"], "offset", {"arrival": ("max", F.unix_micros("timestamp"))}, block_rows, log
     )
     return timed.withColumn("topic_rank", rank)
 

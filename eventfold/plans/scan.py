@@ -24,18 +24,25 @@ def running(
     order: str,
     aggs: Mapping[str, tuple[str, Column]],
     block_rows: int = BLOCK_ROWS,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns per ``keys`` along the bigint ``order``.
 
-    ``order`` must be unique within ``keys``. Running values include the current row.
+    ``order`` must be unique within ``keys``. Running values include the current row. Block
+    summaries are taken from ``df``, or from ``summary`` when a cheaper source has the same
+    rows with the columns they need.
     """
     block = "_block"
     names = list(aggs)
-    rows = df.withColumn(block, int_div(F.col(order), block_rows))
-    for name, (_, value) in aggs.items():
-        rows = rows.withColumn(f"_in_{name}", value)
 
-    per_block = rows.groupBy(*keys, block).agg(
+    def prepared(source: DataFrame) -> DataFrame:
+        source = source.withColumn(block, int_div(F.col(order), block_rows))
+        for name, (_, value) in aggs.items():
+            source = source.withColumn(f"_in_{name}", value)
+        return source
+
+    rows = prepared(df)
+    per_block = (rows if summary is None else prepared(summary)).groupBy(*keys, block).agg(
         *[_AGG[kind](f"_in_{name}").alias(f"_c_{name}") for name, (kind, _) in aggs.items()]
     )
     earlier = (
