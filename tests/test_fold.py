@@ -125,3 +125,19 @@ def test_bad_stored_fold_stops_the_job(spark):
     df = spark.createDataFrame([('{"last_sequence":1,"state":"LOST","last_event_id":"e","handled_count":1}',)], "v string")
     with pytest.raises(Exception, match="undecodable stored fold"):
         df.select(O.decode_fold(F.col("v")).alias("f")).collect()
+
+
+@pytest.mark.parametrize("hot", [[], ["big"]])
+def test_deletes_on_their_own_topic_keep_their_place(spark, hot):
+    """Record i arrives at millisecond i, so the merged order is the order of the rows."""
+    rows = random_rows(33, 8, 300)
+    _, folds = sequential_fold([{**r, "ok": True} for r in rows])
+    gone = F.col("value").isNull()
+    log = to_log(spark, rows).withColumn("topic", F.when(gone, "order-snapshot").otherwise(F.col("topic"))).withColumn(
+        "offset", F.when(gone, F.col("offset") * 9).otherwise(F.col("offset"))
+    )
+    got = O.deliveries(
+        log, ONE, hot=hot, block_rows=16, block_micros=20_000, merge_topics=("order-lifecycle", "order-snapshot")
+    )
+    final = O.final_folds(O.history(got, order=O.MERGED)).collect()
+    assert {r.order_id: (r.last_sequence, r.state, r.last_event_id, r.handled_count) for r in final} == folds
