@@ -12,7 +12,7 @@ from eventfold.functions import headers as H
 from eventfold.functions import text as X
 from eventfold.operators.decode import parse_event, poison_message
 from eventfold.operators.routing import route, with_delivery
-from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler
+from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler
 from eventfold.schemas import DLQ_TOPIC, RETRY_TOPIC, SNAPSHOT_TOPIC
 
 #: Error classes no further attempt can fix, fixed values.
@@ -79,7 +79,7 @@ def fail_lever(
 
 def failed_deliveries(
     log: DataFrame,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     snapshot_topic: str = SNAPSHOT_TOPIC,
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from eventfold.functions import text as X
 from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
 from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import branch, with_delivery
-from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
+from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
 from eventfold.plans.hot import BLOCK_ROWS, block_of, hot_keys
 from eventfold.plans.scan import running
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
@@ -48,7 +48,7 @@ class Reset:
 
 def deliveries(
     log: DataFrame,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     *,
     hot: Sequence[str] | None = None,

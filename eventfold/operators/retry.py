@@ -17,7 +17,7 @@ from eventfold.operators.failures import (
     to_failure_logs,
     to_source,
 )
-from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec
+from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec
 from eventfold.plans.hot import BLOCK_ROWS
 from eventfold.plans.scan import running
 from eventfold.schemas import LOG_SCHEMA, RETRY_TOPIC
@@ -62,7 +62,7 @@ def due_gate_tiered(waiting: DataFrame, now: Column, block_rows: int = BLOCK_ROW
 
 
 def judge_due(
-    due: DataFrame, services: Sequence[ServiceSpec] = ORDER_SERVICES
+    due: DataFrame, services: Sequence[ServiceSpec] = DEFAULT_SERVICES
 ) -> DataFrame:
     """What becomes of a due record: ``release`` it, or ``give_up`` for an unknown service or bad bytes."""
     names = sorted(s.name for s in services)
@@ -123,7 +123,7 @@ def as_log(records: DataFrame, offset: Column, timestamp: Column) -> DataFrame:
 def retry_rounds(
     log: DataFrame,
     handler: Handler,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     policy: RetryPolicy = RetryPolicy(),
     path: str | None = None,
 ) -> DataFrame:

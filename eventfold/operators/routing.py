@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventfold.functions import headers as H
 from eventfold.functions import text as X
 from eventfold.operators.decode import poison_message
-from eventfold.operators.services import ORDER_SERVICES, ServiceSpec, fan_out
+from eventfold.operators.services import DEFAULT_SERVICES, ServiceSpec, fan_out
 from eventfold.schemas import SNAPSHOT_TOPIC
 
 
@@ -37,7 +37,7 @@ def branch(service: Column, snapshot_topic: str = SNAPSHOT_TOPIC) -> Column:
 
 def route(
     decoded: DataFrame,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     snapshot_topic: str = SNAPSHOT_TOPIC,
 ) -> DataFrame:
     """Fan decoded records out to the services and add ``route``; narrow."""

@@ -32,15 +32,15 @@ class ServiceSpec:
 
 _ALL = ("ORDER_CREATED", "PACKED", "SHIPPED", "DELIVERED")
 
-#: The three order services, fixed values.
-ORDER_SERVICES = (
+#: The three readers of the order log, fixed values.
+DEFAULT_SERVICES = (
     ServiceSpec("inventory", ("ORDER_CREATED", "SHIPPED")),
     ServiceSpec("notification", _ALL),
     ServiceSpec("analytics", _ALL),
 )
 
 
-def fan_out(rows: DataFrame, services: Sequence[ServiceSpec] = ORDER_SERVICES) -> DataFrame:
+def fan_out(rows: DataFrame, services: Sequence[ServiceSpec] = DEFAULT_SERVICES) -> DataFrame:
     """Every service sees every row. Narrow, and it keeps the rows' partitioning, so a
     shuffle done before it is paid once and not once per service."""
     each = F.array(
@@ -57,7 +57,7 @@ def fan_out(rows: DataFrame, services: Sequence[ServiceSpec] = ORDER_SERVICES) -
     return out.select(*rows.columns, "_s.service", "_s.group_id", "_s.handled_types")
 
 
-def service_fanout(events: DataFrame, services: Sequence[ServiceSpec] = ORDER_SERVICES) -> DataFrame:
+def service_fanout(events: DataFrame, services: Sequence[ServiceSpec] = DEFAULT_SERVICES) -> DataFrame:
     """Each event once per service, with whether that service has a handler for it."""
     return fan_out(events, services).select(
         *events.columns,

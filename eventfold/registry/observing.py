@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventfold.operators import fold as FO
 from eventfold.operators import observe as O
-from eventfold.operators.services import ORDER_SERVICES
+from eventfold.operators.services import DEFAULT_SERVICES
 from eventfold.registry import register
 from eventfold.registry.folding import folds, hist
 from eventfold.registry.sql import cte, using
@@ -94,7 +94,7 @@ cte(
 )
 def replay_is_noop(spark, d):
     """Without deletes: a replayed delete would bring its order back, as it does at the source."""
-    return O.replay_effect(lifecycle_log(spark, d).where("value is not null"), ORDER_SERVICES)
+    return O.replay_effect(lifecycle_log(spark, d).where("value is not null"), DEFAULT_SERVICES)
 
 
 @register(

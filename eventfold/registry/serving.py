@@ -17,7 +17,7 @@ from eventfold.sources.order_log import fixture_handler, lifecycle_log
 def handled_rows(log, service="analytics"):
     """Deliveries one service handled; each attempt that failed is left out."""
     decoded = RT.with_delivery(parse_event(log, with_payload=False))
-    mine = [s for s in S.ORDER_SERVICES if s.name == service]
+    mine = [s for s in S.DEFAULT_SERVICES if s.name == service]
     rows = RT.route(decoded, mine).where(F.col("route") == "event")
     return S.apply_handler(rows, fixture_handler).where("handler_ok")
 

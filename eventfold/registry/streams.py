@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventfold.functions import headers as H
-from eventfold.operators.services import ORDER_SERVICES
+from eventfold.operators.services import DEFAULT_SERVICES
 from eventfold.operators.services import analytics_counts as count_types
 from eventfold.registry import register
 from eventfold.registry.commands import commands, guarded
@@ -65,7 +65,7 @@ def guard_stream(spark, d):
 
 def failure_logs(spark, d):
     path, ckpt = work_dir(spark, "failures"), work_dir(spark, "ckpt")
-    J.run_batches(streamed(spark, d), J.failure_sink(path, ORDER_SERVICES, fixture_handler), ckpt)
+    J.run_batches(streamed(spark, d), J.failure_sink(path, DEFAULT_SERVICES, fixture_handler), ckpt)
     return spark.read.parquet(path)
 
 

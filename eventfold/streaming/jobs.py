@@ -18,7 +18,7 @@ from eventfold.operators.failures import (
 )
 from eventfold.operators.retry import as_log, give_up, judge_due, release, with_retry_fields
 from eventfold.operators.routing import branch, with_delivery
-from eventfold.operators.services import ORDER_SERVICES, Handler, ServiceSpec, apply_handler
+from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler
 from eventfold.plans.hot import int_div
 from eventfold.schemas import SNAPSHOT_TOPIC
 from eventfold.sources.sinks import write_batch
@@ -48,7 +48,7 @@ def seen_by(rows: DataFrame, services: Sequence[ServiceSpec], handler: Handler |
 
 def fold_stream(
     log: DataFrame,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     guarded: bool = True,
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
@@ -88,7 +88,7 @@ def release_stream(lane: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
 
 def failure_sink(
     path: str,
-    services: Sequence[ServiceSpec] = ORDER_SERVICES,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     policy: RetryPolicy = RetryPolicy(),
 ):
@@ -111,7 +111,7 @@ def failure_sink(
     return write
 
 
-def release_sink(path: str, services: Sequence[ServiceSpec] = ORDER_SERVICES):
+def release_sink(path: str, services: Sequence[ServiceSpec] = DEFAULT_SERVICES):
     """A ``foreachBatch`` function putting due records back on their source log.
 
     Records nothing can run go to the dead-letter log, in the same repeatable write.
