@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm.base import register, table, texts_of, written
+from eventfold.llm.buckets import Sets, deal, over_buckets, runs
 from eventfold.llm.graph import components
 
 RADIUS = 3
@@ -127,29 +128,6 @@ def within(planes: np.ndarray, step: int, n: int, radius: int = RADIUS) -> np.nd
     return at[at < n - step]
 
 
-class _Sets:
-    """Union-find over row numbers; roots stay compressed for vector lookups."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Join pairs and return a subset of them that joins the same sets."""
-        kept_a, kept_b = [], []
-        while True:
-            ra, rb = self.root[a], self.root[b]
-            far = ra != rb
-            if not far.any():
-                return np.array(kept_a, np.int64), np.array(kept_b, np.int64)
-            a, b, hi, lo = a[far], b[far], np.maximum(ra, rb)[far], np.minimum(ra, rb)[far]
-            _, first = np.unique(hi, return_index=True)
-            self.root[hi[first]] = lo[first]
-            kept_a += a[first].tolist()
-            kept_b += b[first].tolist()
-            while (up := self.root[self.root]).tolist() != self.root.tolist():
-                self.root = up
-
-
 def linked(prints: np.ndarray, group: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all rows of equal ``group`` within the radius of each other.
 
@@ -168,7 +146,7 @@ def linked(prints: np.ndarray, group: np.ndarray, apart: np.ndarray | None = Non
         take = np.repeat(pick, sizes)
         fp, gr = np.ascontiguousarray(prints[take]), group[take]
         ap = None if apart is None else apart[take]
-        planes, sets = planes_of(fp), _Sets(len(fp))
+        planes, sets = planes_of(fp), Sets(len(fp))
         for step in range(1, int(sizes[pick].max())):
             i = within(planes, step, len(fp))
             i = i[gr[i] == gr[i + step]]
@@ -182,63 +160,9 @@ def linked(prints: np.ndarray, group: np.ndarray, apart: np.ndarray | None = Non
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def _number(*parts: int) -> int:
-    return xxhash.xxh64_intdigest(repr(parts)) - (1 << 63)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
-    """Parts of equal leading keys of a sorted stream, at most PIECE rows each, and whether the run goes on."""
-    last, held = None, np.zeros((0, 0))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)], 1)
-        cut = np.flatnonzero((cols[1:, :keys] != cols[:-1, :keys]).any(1)) + 1
-        for part in np.split(cols, cut):
-            key = tuple(part[0, :keys].tolist())
-            if key != last:
-                if last is not None:
-                    yield last, held, False
-                last, held = key, part
-            else:
-                held = np.concatenate([held, part])
-            while len(held) > PIECE:
-                yield last, held[:PIECE], True
-                held = held[PIECE:]
-    if last is not None:
-        yield last, held, False
-
-
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within buckets; a bucket longer than PIECE is handed on in numbered pieces."""
-    held: list[np.ndarray] = []
-    piece: dict[tuple, int] = {}
-
-    def flush():
-        part = np.concatenate(held)
-        group = np.cumsum(np.r_[0, (part[1:, :2] != part[:-1, :2]).any(1)])
-        a, b = linked(np.ascontiguousarray(part[:, 2]).view(np.uint64), group)
-        zero = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), zero, zero - 1)], schema=_LINK)
-
-    rows = 0
-    for key, part, more in _runs(batches, 2):
-        if more or key in piece:
-            at = piece[key] = piece.get(key, -1) + 1
-            fill = np.full(len(part), 0, np.int64)
-            prints = np.ascontiguousarray(part[:, 2])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prints, prints, fill + _number(*key), fill + at)], schema=_LINK)
-            if not more:
-                piece.clear()
-            continue
-        if len(part) > 1:
-            held.append(part)
-            rows += len(part)
-        if rows >= PIECE:
-            yield flush()
-            held, rows = [], 0
-    if held:
-        yield flush()
+def _compare(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = linked(np.ascontiguousarray(values[:, 0]).view(np.uint64), group)
+    return a.view(np.int64), b.view(np.int64)
 
 
 def _piece_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +173,7 @@ def _piece_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return linked(prints, np.zeros(len(part), np.int64), None if own else part[:, 3])
 
     last, held = None, []
-    for key, part, _ in _runs(batches, 3):
+    for key, part, _ in runs(batches, 3, 1 << 30):
         if key != last and held:
             a, b = flush(last, np.concatenate(held))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -270,21 +194,16 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     found = written(
         keyed.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-        .mapInArrow(_bucket_links, "a bigint, b bigint, grp bigint, piece bigint"),
+        .mapInArrow(over_buckets(2, PIECE, _compare, _LINK), "a bigint, b bigint, grp bigint, piece bigint"),
         "simhash-links",
     )
-    near, long = found.where("piece < 0").select("a", "b"), found.where("piece >= 0")
-    pieces = long.groupBy("grp").agg((F.max("piece") + 1).alias("n"))
-    dealt = (
-        long.join(pieces, "grp")
-        .select("grp", "piece", "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other"))
-        .select("grp", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", F.col("a").alias("fp"))
-    )
+    long = found.where("piece >= 0").select("grp", "piece", F.col("a").alias("fp"))
     across = (
-        dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "piece", "fp")
+        deal(long).select("grp", "i", "j", "piece", "fp")
+        .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "piece", "fp")
         .mapInArrow(_piece_links, "a bigint, b bigint")
     )
-    return near.union(across)
+    return found.where("piece < 0").select("a", "b").union(across)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -81,7 +81,7 @@ def test_long_buckets(spark, monkeypatch, piece):
 
     cols = list(zip(*keyed))
     batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["choice", "key", "fp"])
-    found = pa.Table.from_batches(list(simhash._bucket_links(iter([batch]))), schema=simhash._LINK).to_pylist()
+    found = pa.Table.from_batches(list(simhash.over_buckets(2, piece, simhash._compare, simhash._LINK)(iter([batch]))), schema=simhash._LINK).to_pylist()
     pairs = {(r["a"], r["b"]) for r in found if r["piece"] < 0}
     pieces = {}
     for r in found:
