@@ -61,13 +61,17 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in texts_of(batch, "text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "part", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp), one per document row; ``fp`` holds the bits as a signed bigint."""
+    """Rows (doc_id, part, fp), one per document row.
+
+    ``fp`` holds the bits as a signed bigint, ``part`` a hash of the text.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
+    return keyed.mapInArrow(_fingerprints, f"doc_id {kind}, part bigint, fp bigint")
 
 
 def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -207,14 +211,14 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one per document row."""
+    """Rows (doc_id, part, fp, component_id), one per document row."""
     prints = written(fingerprints(docs), "simhash-prints")
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-unique")
     root = components(links(unique, radius), "simhash-components")
     member = root.join(unique, root.node == unique.fp).select("fp", "root", "first")
     named = member.join(member.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
     names = unique.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(names, "fp").select("doc_id", "part", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

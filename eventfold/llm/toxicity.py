@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,6 +267,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(words, logistic(got[:, :3], got[:, 3], weight).tolist())
 
 
+def scorer(model: Model):
+    """The score alone, as a column function of the text, for filtering whole rows."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(model.words)
+        for part in parts:
+            yield pd.Series([model.score(clauses(t, lexicon) if t else []) for t in part], dtype=float)
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score, clauses) for every document row."""
     kind = dict(docs.dtypes)["doc_id"]
