@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this package."""
 
 from eventfold.llm.base import RUNS, SQL  # noqa: F401
-from eventfold.llm import bytecnn, decontam, linededup, packing, perplexity, simhash, toxicity, warc  # noqa: F401
+from eventfold.llm import bytecnn, decontam, linededup, packing, perplexity, secrets, simhash, toxicity, warc  # noqa: F401
