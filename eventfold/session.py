@@ -43,11 +43,14 @@ def build_session(app: str = "eventfold", master: str | None = None, **conf) ->
 def work_dir(spark: SparkSession, name: str) -> str:
     """Return a new path in the cluster's shared folder.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a temporary folder takes its place.
+    The folder is the one ``spark.checkpoint.dir`` names. Where that is unset, a temporary
+    folder takes its place on a local master; elsewhere executors could not see it, so it
+    is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-eventfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
