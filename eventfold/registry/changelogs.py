@@ -190,30 +190,6 @@ def rebuild_partitions(spark, d):
     return shown(C.rebuild_partitions(log, path, [("order-fold.inventory-service", 1)]))
 
 
-@register(
-    "refuse_ckpt_eos",
-    using(
-        """SELECT p AS "partition", count(*) AS records, guarantee, rebuild, guarantee = 'exactly_once' AND rebuild = 'checkpoint' AS refused
-        FROM log CROSS JOIN (VALUES ('at_least_once'), ('exactly_once')) AS g(guarantee) CROSS JOIN (VALUES ('full'), ('checkpoint')) AS r(rebuild)
-        GROUP BY p, guarantee, rebuild""",
-        "log",
-    ),
-)
-def refuse_ckpt_eos(spark, d):
-    """Each pair of settings, tried on every partition of the log, and whether it is refused."""
-    pairs = []
-    for guarantee in ("at_least_once", "exactly_once"):
-        for rebuild in ("full", "checkpoint"):
-            try:
-                C.check_rebuild(guarantee, rebuild)
-                refused = False
-            except ValueError:
-                refused = True
-            pairs.append(F.struct(F.lit(guarantee).alias("guarantee"), F.lit(rebuild).alias("rebuild"), F.lit(refused).alias("refused")))
-    parts = lifecycle_log(spark, d).groupBy("partition").agg(F.count(F.lit(1)).alias("records"))
-    return parts.select("partition", "records", F.explode(F.array(*pairs)).alias("p")).select("partition", "records", "p.*")
-
-
 cte(
     "order_table",
     """SELECT f.order_id, 'cust-' || b.ck AS customer_id, f.state, f.last_sequence, t.total AS total_amount,

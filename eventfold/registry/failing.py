@@ -104,20 +104,6 @@ def backoff(spark, d):
     return a.groupBy("attempt", O.backoff(F.col("attempt")).alias("seconds")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(
-    "fail_lever",
-    using(
-        """SELECT service, order_id, s AS sequence, CAST(att AS BIGINT) AS attempt, err AS error_class, err_text AS error_message
-        FROM dlv WHERE err IS NOT NULL""",
-        "dlv",
-    ),
-)
-def fail_lever(spark, d):
-    return failed(spark, d).where("sequence is not null").select(
-        "service", "order_id", "sequence", "attempt", "error_class", "error_message"
-    )
-
-
 @register(
     "to_retry",
     using(
@@ -224,24 +210,6 @@ def retry_give_up(spark, d):
     return flat(dead, H.SERVICE, H.CONSUMER_GROUP, H.ATTEMPTS_MADE, H.ERROR_MESSAGE).drop("topic", "partition")
 
 
-@register(
-    "retry_rounds",
-    using(
-        """SELECT round, topic, service, CAST(count(*) AS BIGINT) AS n FROM (
-        SELECT 1 AS round, 'order-lifecycle.' || destination AS topic, service FROM routed
-        UNION ALL SELECT 2, CASE WHEN att = 1 THEN 'order-lifecycle.retry' ELSE 'order-lifecycle.dlq' END, service FROM lane
-        UNION ALL SELECT 3, 'order-lifecycle.dlq', service FROM lane WHERE att = 1) GROUP BY ALL""",
-        "lane",
-    ),
-)
-def retry_rounds(spark, d):
-    out = R.retry_rounds(lifecycle_log(spark, d), fixture_handler)
-    m = H.decode_headers(F.col("headers"))
-    return out.select("round", "topic", F.try_element_at(m, F.lit(H.SERVICE)).alias("service")).groupBy(
-        "round", "topic", "service"
-    ).agg(F.count(F.lit(1)).alias("n"))
-
-
 cte(
     "letters",
     """SELECT *, '  ' || order_id || repeat(' ', 24 - length(order_id)) || ' service=' || rpad(service, 13, ' ')

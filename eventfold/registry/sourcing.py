@@ -173,32 +173,6 @@ def ids(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("i"))
 
 
-@register(
-    "gen_orders",
-    """SELECT 'ord-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS order_id, CAST(s AS BIGINT) AS sequence, ty AS event_type,
-    CASE s WHEN 1 THEN 'cust-' || o_orderkey END AS customer_id, CASE s WHEN 1 THEN CAST(1000 AS BIGINT) END AS total_amount,
-    CASE s WHEN 3 THEN 'PT-' || o_orderkey END AS tracking_number
-    FROM orders CROSS JOIN (VALUES (1, 'ORDER_CREATED'), (2, 'PACKED'), (3, 'SHIPPED'), (4, 'DELIVERED')) AS t(s, ty)""",
-)
-def gen_orders(spark, d):
-    records = K.event_records(G.gen_orders(ids(spark, d), advance=True), 3)
-    log = records.withColumn("offset", F.lit(0).cast("bigint")).withColumn("timestamp", F.timestamp_seconds(F.lit(0)))
-    return parse_event(log).select(
-        "order_id", "sequence", "event_type", "created.customer_id", "created.total_amount", "shipped.tracking_number"
-    )
-
-
-@register(
-    "gen_poison",
-    """SELECT 'poison-order-' || o_orderkey AS key_text, t.v || CASE t.n WHEN 1 THEN o_orderkey || '","this_field":"is not the schema"}' ELSE '' END AS text
-    FROM orders CROSS JOIN (VALUES (0, 'this is not json at all }{'), (1, '{"order_id":"poison-order-')) AS t(n, v)""",
-)
-def gen_poison(spark, d):
-    return G.gen_poison(ids(spark, d)).select(
-        X.key_text(F.col("key")).alias("key_text"), F.col("value").cast("string").alias("text")
-    )
-
-
 @register(
     "sink_events",
     """SELECT 'ord-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key_text, CAST(1 AS BIGINT) AS n FROM orders""",
