@@ -53,6 +53,11 @@ def pad_right(value: Column, width: int) -> Column:
     return F.rpad(value, F.greatest(F.lit(width), F.length(value)), F.lit(" "))
 
 
+def pad_left(value: Column, width: int, fill: str = "0") -> Column:
+    """Pad in front without ever cutting, unlike ``lpad``."""
+    return F.lpad(value, F.greatest(F.lit(width), F.length(value)), F.lit(fill))
+
+
 def render_violation(kind: Column, order_id: Column, sequence: Column, expected: Column, observed: Column) -> Column:
     return F.format_string(
         "VIOLATION type=%s order_id=%s seq=%d expected=%s observed=%s",

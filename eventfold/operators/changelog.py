@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.plans.small import checked_broadcast
-from eventfold.sources.offsets import MAX_PARTITIONS, fixed_bounds
+from eventfold.sources.offsets import BROADCAST_PARTITIONS, fixed_bounds
 
 
 def compact_latest(log: DataFrame, where_live: Column | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def restore_checkpoint(log: DataFrame, stored: DataFrame, checkpoints: DataFrame
     from its start and its stored rows are dropped.
     """
     marks = checked_broadcast(
-        checkpoints.select("topic", "partition", F.col("position").alias("_from")), MAX_PARTITIONS
+        checkpoints.select("topic", "partition", F.col("position").alias("_from")), BROADCAST_PARTITIONS
     )
     delta = (
         log.join(marks, ["topic", "partition"], "left")

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from eventfold.functions.validate import line_total
 from eventfold.lifecycle import ORDER_LIFECYCLE, PAYMENT_METHODS, Lifecycle
-from eventfold.plans.hot import BLOCK_ROWS, hot_keys
+from eventfold.plans.hot import BLOCK_ROWS, BROADCAST_KEYS, hot_keys
 from eventfold.plans.scan import running
+from eventfold.plans.small import checked_broadcast
+from eventfold.session import written
 
 
 def check_creates(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -85,12 +87,12 @@ def _marks_by_window(commands: DataFrame, lifecycle: Lifecycle) -> DataFrame:
     return commands
 
 
-def _marks_by_join(commands: DataFrame, lifecycle: Lifecycle) -> DataFrame:
-    """The same positions for hot orders: one combined aggregate per position. The list of
-    hot orders is bounded, so the positions found so far are broadcast."""
+def _marks_by_join(commands: DataFrame, lifecycle: Lifecycle, few: bool) -> DataFrame:
+    """The same positions for hot orders: one combined aggregate per position, broadcast
+    where the hot orders were counted and are few."""
     for name, condition in _reach(lifecycle):
         found = commands.groupBy("order_id").agg(F.min(F.when(condition, F.col("cmd_id"))).alias(name))
-        commands = commands.join(F.broadcast(found), "order_id", "left")
+        commands = commands.join(F.broadcast(found) if few else found, "order_id", "left")
     return commands
 
 
@@ -98,7 +100,7 @@ def guard(
     commands: DataFrame,
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
     *,
-    hot: Sequence[str] | None = None,
+    find_hot: bool = True,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run every command against its order, in ``cmd_id`` order, and say what came of it.
@@ -109,11 +111,12 @@ def guard(
     in this order: unknown order 404, bad payload 422, illegal step 409 unless forced, then
     the next sequence is taken. A failed publish (502) keeps the sequence and not the state.
     A forced illegal step takes a sequence and leaves the state.
+
+    The commands are written once and orders with more than ``block_rows`` of them take the
+    path without a window over the order. Without ``find_hot`` none is looked for.
     """
     if not lifecycle.is_linear:
         raise ValueError("the batch guard needs a lifecycle in a line; stream a branching one")
-    if hot is None:
-        hot = hot_keys(commands, F.col("order_id"), block_rows)
     steps = len(lifecycle.steps)
     pos = F.col("cmd_id")
 
@@ -147,14 +150,20 @@ def guard(
             rows, ["order_id"], "cmd_id", {"taken": ("sum", F.col("reserved").cast("bigint"))}, block_rows
         )
 
-    if not hot:
+    columns = commands.columns
+    if find_hot:
+        commands = written(commands, "commands")
+        keys = hot_keys(commands, "order_id", block_rows).select("order_id")
+        n = keys.count()
+    if not find_hot or not n:
         counted = counted_by_window(judged(_marks_by_window(commands, lifecycle)))
     else:
-        is_hot = F.col("order_id").isin(list(hot))
-        cold = counted_by_window(judged(_marks_by_window(commands.where(~is_hot), lifecycle)))
-        big = counted_by_block(judged(_marks_by_join(commands.where(is_hot), lifecycle)))
+        small = checked_broadcast(keys, BROADCAST_KEYS)
+        cold = counted_by_window(judged(_marks_by_window(commands.join(small, "order_id", "left_anti"), lifecycle)))
+        hot = written(commands.join(small, "order_id").select(*columns), "hot-commands")
+        big = counted_by_block(judged(_marks_by_join(hot, lifecycle, n <= BROADCAST_KEYS)))
         counted = cold.unionByName(big)
-    return _outcome(counted, commands.columns, lifecycle)
+    return _outcome(counted, columns, lifecycle)
 
 
 def _outcome(rows: DataFrame, columns: Sequence[str], lifecycle: Lifecycle) -> DataFrame:

@@ -2,8 +2,8 @@
 
 One shuffle serves all outputs: rows are partitioned by order once, fanned out to the
 groups afterwards, and running aggregates along each order give the state before and
-after every delivery. Orders too long for one task are cut into offset blocks; one row
-per block carries the state over, see :func:`_carry_blocks`.
+after every delivery. Orders too long for one task take a second path: they are cut into
+blocks of rows, and one row per block carries the state over, see :func:`_carry_blocks`.
 """
 
 from __future__ import annotations
@@ -19,16 +19,15 @@ from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
 from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
-from eventfold.plans.hot import BLOCK_ROWS, block_of, hot_keys
+from eventfold.plans.hot import BLOCK_ROWS, split
 from eventfold.plans.scan import running
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
+from eventfold.session import written
 
 GUARDED = "guarded"
 LAST_WRITE = "last_write"
 #: Order columns of a log read from several topics.
 MERGED = ("arrival", "topic_rank", "offset")
-#: Width of a hot order's blocks when records are ordered by arrival.
-BLOCK_MICROS = 60_000_000
 
 _SLIM = [
     "topic", "partition", "offset", "timestamp", "order_id", "sequence", "event_type", "event_id",
@@ -46,48 +45,62 @@ class Reset:
     offset: int
 
 
+@dataclass(frozen=True)
+class Deliveries:
+    """Rows of ordinary orders, and those of hot ones with their blocks (None: no hot order)."""
+
+    cold: DataFrame
+    hot: DataFrame | None = None
+
+
 def deliveries(
     log: DataFrame,
     services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     *,
-    hot: Sequence[str] | None = None,
+    find_hot: bool = True,
     block_rows: int = BLOCK_ROWS,
     merge_topics: Sequence[str] = (),
-    block_micros: int = BLOCK_MICROS,
+    extra: Sequence[str] = (),
+    order: Sequence[str] = ("offset",),
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
     snapshot_topic: str = SNAPSHOT_TOPIC,
-) -> DataFrame:
+) -> Deliveries:
     """Rows that touch a fold: events with their handler's outcome, and tombstones.
 
-    Decodes, drops the payload, shuffles once by order (and block, for hot orders) and only
-    then fans out to the groups. ``hot`` lists orders to cut into blocks; left out, they are
-    found with one pass over the key column.
+    Decodes once, drops the payload and writes the narrow rows, which count the rows of each
+    decoded order id. Rows shuffle once by order (hot ones by order and block) and only then
+    fan out to the groups. Without ``find_hot`` nothing is written and no order is cut, for
+    logs known to hold no order of more than ``block_rows`` records.
 
     Offsets order the records of one topic. When deletes arrive on a topic of their own,
     ``merge_topics`` names the topics, and :func:`merged_order` interleaves them; pass
-    ``MERGED`` as the order of :func:`history` then. Hot orders are cut by time in that case.
+    ``MERGED`` as the order of :func:`history` then. Otherwise ``order`` is the one that
+    :func:`history` gets; it may use the log's ``extra`` columns.
     """
-    if hot is None:
-        hot = hot_keys(log, X.key_text(F.col("key")), block_rows)
     decoded = with_delivery(parse_event(log, with_payload=False, lifecycle=lifecycle))
     slim = decoded.withColumn(
         "order_id", F.when(F.col("is_tombstone"), X.key_text(F.col("key"))).otherwise(F.col("order_id"))
-    ).select(*_SLIM)
+    ).select(*_SLIM, *extra)
     if merge_topics:
         slim = merged_order(slim, merge_topics, block_rows, log)
     slim = slim.where(~F.col("is_poison") & (F.col("is_tombstone") | (F.col("topic") != snapshot_topic)))
-    along, width = (F.col("arrival"), block_micros) if merge_topics else (F.col("offset"), block_rows)
-    # Without hot orders the block is a constant, which must stay out of the partitioning:
-    # the planner drops constants from the windows' keys and would shuffle a second time.
-    placed = slim.withColumn("block", block_of(F.col("order_id"), along, hot, width))
-    placed = placed.repartition("order_id", "block") if hot else placed.repartition("order_id")
-    routed = fan_out(placed, services).withColumn("route", branch(F.col("service"), snapshot_topic))
-    mine = routed.where(F.col("route").isin("event", "tombstone")).drop("handled_types", "is_poison")
-    handled = apply_handler(mine, handler)
-    keep = ~F.col("is_tombstone")
-    return handled.withColumn("error_class", F.when(keep, F.col("error_class"))).withColumn(
-        "handler_ok", keep & F.col("handler_ok")
+    cold, hot = slim, None
+    if find_hot:
+        along = MERGED if merge_topics else (*order, "topic", "partition")
+        cold, hot = split(written(slim, "deliveries"), "order_id", along, block_rows)
+
+    def delivered(rows: DataFrame) -> DataFrame:
+        routed = fan_out(rows, services).withColumn("route", branch(F.col("service"), snapshot_topic))
+        mine = routed.where(F.col("route").isin("event", "tombstone")).drop("handled_types", "is_poison")
+        handled = apply_handler(mine, handler)
+        keep = ~F.col("is_tombstone")
+        return handled.withColumn("error_class", F.when(keep, F.col("error_class"))).withColumn(
+            "handler_ok", keep & F.col("handler_ok")
+        )
+
+    return Deliveries(
+        delivered(cold.repartition("order_id")), None if hot is None else delivered(hot.repartition("order_id", "block"))
     )
 
 
@@ -108,7 +121,7 @@ def merged_order(
 
 
 def history(
-    rows: DataFrame,
+    rows: Deliveries,
     mode: str = GUARDED,
     *,
     resets: Sequence[Reset] = (),
@@ -119,8 +132,17 @@ def history(
 
     ``guarded``: the highest sequence wins and, among equals, the first delivery, so the fold
     never moves back. ``last_write``: the latest delivery wins. A tombstone ends the order's
-    memory. ``is_last`` marks the newest row of an order in its group.
+    memory. ``is_last`` marks the newest row of an order in its group. Ordinary orders need
+    no join; hot ones have a plan of their own, and both results are put together.
     """
+    cold = _history(rows.cold, mode, resets, order, lifecycle)
+    if rows.hot is None:
+        return cold
+    return cold.unionByName(_history(rows.hot, mode, resets, order, lifecycle).drop("block"))
+
+
+def _history(rows: DataFrame, mode: str, resets: Sequence[Reset], order: Sequence[str], lifecycle: Lifecycle) -> DataFrame:
+    blocks = ["block"] if "block" in rows.columns else []
     keys = ["group_id", "order_id", "lost"]
     lost = F.lit(0)
     for r in resets:
@@ -143,7 +165,7 @@ def history(
         lifecycle.resulting(F.col("event_type")).alias("state"),
         F.col("event_id").alias("event_id"),
     )
-    along = Window.partitionBy(*keys, "block").orderBy(*order)
+    along = Window.partitionBy(*keys, *blocks).orderBy(*order)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     stone = F.col("is_tombstone")
 
@@ -162,7 +184,7 @@ def history(
     local = staged.withColumn("prev", F.when(F.col("_top.e") == F.col("_epoch"), F.col("_top.v"))).withColumn(
         "prev_handled", F.col("_ok") - F.col("_spent")
     )
-    whole = _carry_blocks(local, keys)
+    whole = _carry_blocks(local, keys) if blocks else local.withColumn("is_last", F.col("_next").isNull())
     best = (
         F.when(F.col("_v").isNull(), F.col("prev"))
         .when(F.col("prev").isNull() | (F.col("_v") > F.col("prev")), F.col("_v"))
@@ -187,11 +209,8 @@ def _carry_blocks(local: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring the state of earlier blocks into each block of a hot order.
 
     One row per block (its last) says whether it holds a tombstone and what is live at its
-    end. A running pass over these rows gives the state entering each block. Ordinary
-    orders have the single block -1 and take no part; when the block number is a constant
-    the whole step folds away.
+    end. A running pass over these rows gives the state entering each block.
     """
-    block = F.col("block")
     tail = F.col("_next").isNull()
     stone = F.col("is_tombstone")
     live = (
@@ -200,7 +219,7 @@ def _carry_blocks(local: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(F.col("prev").isNull() | (F.col("_v") > F.col("prev")), F.col("_v"))
         .otherwise(F.col("prev"))
     )
-    ends = local.where(tail & (block >= 0)).select(
+    ends = local.where(tail).select(
         *keys,
         "block",
         ((F.col("_epoch") > 0) | stone).cast("int").alias("_ended"),

@@ -56,15 +56,17 @@ def violation_counts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("group_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def replay_effect(log: DataFrame, services, handler=None, shift: int = 1 << 40) -> DataFrame:
+def replay_effect(log: DataFrame, services, handler=None) -> DataFrame:
     """What reading the whole log a second time does: nothing but counting.
 
-    The replay follows the log at offsets moved by ``shift``; one history over both shows
-    how many folds moved, what was reported, and how many deliveries were absorbed.
+    Records carry the pass they belong to, and are ordered by pass and offset; one history
+    over both passes shows how many folds moved, what was reported, and how many deliveries
+    were absorbed.
     """
-    again = log.withColumn("offset", F.col("offset") + F.lit(shift))
-    hist = FO.history(FO.deliveries(log.unionByName(again), services, handler))
-    judged = FO.judge(hist).withColumn("replayed", F.col("offset") >= F.lit(shift))
+    passes = log.withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2))))
+    order = ("pass", "offset")
+    hist = FO.history(FO.deliveries(passes, services, handler, extra=("pass",), order=order), order=order)
+    judged = FO.judge(hist).withColumn("replayed", F.col("pass") == 2)
     moved = F.col("replayed") & F.col("handler_ok") & ~F.col("redelivery")
     return judged.groupBy("group_id").agg(
         F.count_if(moved).alias("folds_changed"),

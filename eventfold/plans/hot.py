@@ -1,4 +1,9 @@
-"""Find keys too large for one task and cut them into offset blocks."""
+"""Find keys too large for one task and cut them into blocks of rows.
+
+Nothing about the keys reaches the driver: counts are a written table, hot rows are
+range-partitioned in their own order, and the partition a row lands in is its block. The
+blocks are written too, so every later read sees the same cut.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key that one task may hold; longer keys are cut at multiples of this offset.
+from eventfold.plans.small import checked_broadcast
+from eventfold.session import written
+
+#: Rows of one key that one task may hold. Longer keys are cut into blocks of about this many.
 BLOCK_ROWS = 1 << 20
-#: Upper bound on the keys reported. It bounds what reaches the driver.
-MAX_HOT_KEYS = 4096
-#: Counters kept per task by the frequent-items sketch.
-SKETCH_ITEMS = 1 << 16
+#: Range partitions that the hot rows of one job are dealt into at most; blocks grow beyond.
+MAX_BLOCKS = 1 << 16
+#: Hot keys up to this many are broadcast; more of them are joined with a shuffle.
+BROADCAST_KEYS = 1 << 16
 
 
 def int_div(a: Column, b: int) -> Column:
@@ -20,26 +28,23 @@ def int_div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
-def hot_keys(df: DataFrame, key: Column, block_rows: int = BLOCK_ROWS) -> list:
-    """Return the keys holding at least ``block_rows`` rows, at most ``MAX_HOT_KEYS`` of them.
+def hot_keys(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Keys with more than ``block_rows`` rows and how many. Counts combine before the shuffle."""
+    return written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows), "hot-keys")
+
+
+def split(rows: DataFrame, key: str, order: Sequence[str], block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and those of hot keys with a bigint ``block`` increasing along ``order``.
 
-    One mergeable sketch over the key column alone: no shuffle by key, and a result of
-    bounded size. The list only decides how work is split. Results are the same whichever
-    keys are named here, so the sketch's error never reaches them; a key it misses holds
-    less than about 1/49000 of all rows.
+    ``rows`` should be a written table, as it is read twice. Without hot keys the second
+    part is None and the first is ``rows``. A null key is an ordinary one.
     """
-    top = df.select(key.alias("k")).where("k is not null").agg(
-        F.expr(f"approx_top_k(k, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
-    )
-    found = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= block_rows)
-    return [row[0] for row in found.select("t.item").collect()]
-
-
-def block_of(
-    key: Column, order: Column, hot: Sequence, block_rows: int = BLOCK_ROWS
-) -> Column:
-    """Block number of a row: -1 for ordinary keys, the offset block for hot ones."""
-    if not hot:
-        return F.lit(-1).cast("bigint")
-    cut = int_div(order, block_rows)
-    return F.when(key.isin(list(hot)), cut).otherwise(F.lit(-1).cast("bigint"))
+    keys = hot_keys(rows, key, block_rows)
+    found, total = keys.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not found:
+        return rows, None
+    small = checked_broadcast(keys.select(F.col(key)), BROADCAST_KEYS)
+    parts = min(MAX_BLOCKS, -(-total // block_rows) + 1)
+    hot = rows.join(small, key).select(*rows.columns)
+    cut = hot.repartitionByRange(parts, key, *order).withColumn("block", F.spark_partition_id().cast("bigint"))
+    return rows.join(small, key, "left_anti"), written(cut, "hot-rows")

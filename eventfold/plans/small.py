@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventfold.session import written
 
-def fixed(df: DataFrame, cap: int) -> DataFrame:
-    """A small table as it stands now, detached from its source.
 
-    Meant for one row per log partition or per service. More than ``cap`` rows is an error,
-    never a cut.
-    """
-    rows = df.limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"expected at most {cap} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def fixed(df: DataFrame) -> DataFrame:
+    """A table as it stands now, detached from its source by writing it."""
+    return written(df, "fixed")
 
 
 def checked_broadcast(df: DataFrame, cap: int) -> DataFrame:
-    """Broadcast a table after checking that it has at most ``cap`` rows."""
-    return F.broadcast(fixed(df, cap))
+    """A table marked for broadcast if it has at most ``cap`` rows, and left to a shuffled join if not."""
+    return F.broadcast(df) if df.limit(cap + 1).count() <= cap else df

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from eventfold.operators import commands as O
 from eventfold.registry import register
 from eventfold.registry.sql import cte, using
-from eventfold.sources.order_log import order_id_of, spread
+from eventfold.sources.order_log import order_id_of
 
 
 def _orders(spark, d):
     k = F.col("o_orderkey")
     n = F.when(F.col("o_orderstatus") == "F", 4).when(F.col("o_orderstatus") == "P", 3).otherwise(1 + k % 2)
-    return spread(spark.read.parquet(f"{d}/orders.parquet"), "o_orderkey").select(
+    return spark.read.parquet(f"{d}/orders.parquet").select(
         k.alias("k"), n.alias("n"), F.col("o_custkey").alias("ck")
     )
 
@@ -171,6 +171,14 @@ def results(spark, d):
     return O.guard(commands(spark, d))
 
 
+@register("guard_hot", guarded("SELECT cmd_id, status, sequence, state_before, state_after, reason FROM res"))
+def guard_hot(spark, d):
+    """The guard with orders of more than eight commands taken as hot."""
+    return O.guard(commands(spark, d), block_rows=8).select(
+        "cmd_id", "status", "sequence", "state_before", "state_after", "reason"
+    )
+
+
 @register(
     "create_order",
     using(

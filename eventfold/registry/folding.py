@@ -53,6 +53,21 @@ def fold_two_topics(spark, d):
     return O.final_folds(O.history(rows, order=O.MERGED))
 
 
+@register("fold_hot", using(f"SELECT {FOLD_COLUMNS} FROM g_fold", "g_fold"))
+def fold_hot(spark, d):
+    """The guarded fold with orders of more than four records cut into blocks."""
+    rows = O.deliveries(lifecycle_log(spark, d), handler=fixture_handler, block_rows=4)
+    return O.final_folds(O.history(rows))
+
+
+@register("fold_two_topics_hot", using(f"SELECT {FOLD_COLUMNS} FROM g_fold", "g_fold"))
+def fold_two_topics_hot(spark, d):
+    rows = O.deliveries(
+        two_topics(spark, d), handler=fixture_handler, merge_topics=(LIFECYCLE_TOPIC, SNAPSHOT_TOPIC), block_rows=4
+    )
+    return O.final_folds(O.history(rows, order=O.MERGED))
+
+
 @register(
     "fold_per_group",
     using(

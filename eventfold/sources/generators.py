@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventfold.functions.text import pad_left
+
 from eventfold.functions.text import new_event_id
 from eventfold.lifecycle import ORDER_LIFECYCLE
 from eventfold.schemas import LIFECYCLE_TOPIC
@@ -33,7 +35,7 @@ def gen_orders(ids: DataFrame, advance: bool = False) -> DataFrame:
         .otherwise(F.lit("{}"))
     )
     steps = ids.select("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(last).cast("bigint"))).alias("sequence"))
-    order_id = F.concat(F.lit("ord-"), F.lpad(F.col("i").cast("string"), 12, "0"))
+    order_id = F.concat(F.lit("ord-"), pad_left(F.col("i").cast("string"), 12))
     return steps.select(
         "i",
         order_id.alias("order_id"),

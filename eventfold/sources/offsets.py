@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from eventfold.plans.small import checked_broadcast, fixed
 
-#: A log may not have more partitions than this; the list of them travels to the driver.
-MAX_PARTITIONS = 200_000
+#: Bounds of up to this many partitions are broadcast; longer tables are joined with a shuffle.
+BROADCAST_PARTITIONS = 200_000
 
 
 def log_bounds(log: DataFrame) -> DataFrame:
@@ -23,10 +23,9 @@ def log_bounds(log: DataFrame) -> DataFrame:
 def fixed_bounds(log: DataFrame) -> DataFrame:
     """Bounds as they stand now, detached from the log: later writes do not move them.
 
-    One row per partition, so the result is small; more partitions than any cluster
-    holds is an error.
+    One row per partition, written to the shared folder.
     """
-    return fixed(log_bounds(log), MAX_PARTITIONS)
+    return fixed(log_bounds(log))
 
 
 def message_count(bounds: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def message_count(bounds: DataFrame) -> DataFrame:
 def read_bounded(log: DataFrame, bounds: DataFrame) -> DataFrame:
     """Rows inside the bounds, one row per partition as :func:`fixed_bounds` gives them."""
     b = checked_broadcast(
-        bounds.select("topic", "partition", F.col("low").alias("_low"), F.col("high").alias("_high")), MAX_PARTITIONS
+        bounds.select("topic", "partition", F.col("low").alias("_low"), F.col("high").alias("_high")), BROADCAST_PARTITIONS
     )
     inside = (F.col("offset") >= F.col("_low")) & (F.col("offset") < F.col("_high"))
     return log.join(b, ["topic", "partition"]).where(inside).select(*log.columns)
@@ -82,7 +81,7 @@ def reset_offsets(
     A dry run keeps ``committed`` and shows ``new_offset`` next to it.
     """
     bounds = fixed_bounds(log)
-    rows = committed.join(F.broadcast(bounds), ["topic", "partition"])
+    rows = committed.join(checked_broadcast(bounds, BROADCAST_PARTITIONS), ["topic", "partition"])
     low, high = F.col("low"), F.col("high")
     if to == "datetime":
         rows = rows.join(_at_time(log, value), ["topic", "partition"], "left")

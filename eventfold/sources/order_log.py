@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.functions import headers as H
+from eventfold.functions.text import pad_left
 from eventfold.plans.hot import int_div
 from eventfold.schemas import LIFECYCLE_TOPIC, LOG_SCHEMA
 
@@ -37,18 +38,12 @@ def use_log_table(sf_dir: str, path: str | None) -> None:
         _TABLES[sf_dir] = path
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core when a scan yields fewer splits than there are cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def order_id_of(key: Column) -> Column:
-    return F.concat(F.lit("ord-"), F.lpad(key.cast("string"), 12, "0"))
+    return F.concat(F.lit("ord-"), pad_left(key.cast("string"), 12, "0"))
 
 
 def order_number(order_id: Column) -> Column:
-    return F.substring(order_id, 5, 12).try_cast("bigint")
+    return F.substring(order_id, 5, 20).try_cast("bigint")
 
 
 def _steps(k: Column, n: Column) -> Column:
@@ -104,7 +99,7 @@ def lifecycle_rows(spark: SparkSession, sf_dir: str, partitions: int = PARTITION
         .when(F.col("o_orderstatus") == "P", 3)
         .otherwise(1 + k % 2)
     )
-    base = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey").select(
+    base = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         k.alias("k"),
         F.col("o_custkey").alias("ck"),
         F.floor("o_totalprice").cast("bigint").alias("price"),

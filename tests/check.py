@@ -1,9 +1,11 @@
 """Compare registered queries with their SQL: python tests/check.py [sf] [name ...]"""
 
+import os
 import sys
 import time
 
-sys.path[:0] = ["/root/repo", "/root/repo/tests"]
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(_TESTS), _TESTS]
 
 import importlib
 

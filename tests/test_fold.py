@@ -40,14 +40,14 @@ def to_log(spark, rows):
     )
 
 
-def run(spark, rows, mode, hot, block_rows, resets=()):
+def run(spark, rows, mode, block_rows, resets=()):
     failing = [r["event_id"] for r in rows if not r["ok"]]
 
     def handler(df):
         bad = F.col("event_id").isin(failing)
         return df.withColumn("error_class", F.when(bad, "RetryableError")).withColumn("error_message", F.lit("x"))
 
-    got = O.deliveries(to_log(spark, rows), ONE, handler, hot=hot, block_rows=block_rows)
+    got = O.deliveries(to_log(spark, rows), ONE, handler, block_rows=block_rows)
     hist = O.history(got, mode, resets=resets).cache()
     seen = [
         (r.offset, None, r.redelivery, r.seq_gap, r.illegal,
@@ -60,37 +60,43 @@ def run(spark, rows, mode, hot, block_rows, resets=()):
 
 
 @pytest.mark.parametrize("mode", [O.GUARDED, O.LAST_WRITE])
-@pytest.mark.parametrize("hot,block_rows", [([], 1 << 20), (["big"], 7), (["big", "o1", "o2"], 16)])
-def test_fold_equals_sequential_model(spark, mode, hot, block_rows):
-    rows = random_rows(len(hot) + block_rows, 12, 600)
+@pytest.mark.parametrize("block_rows", [1 << 20, 40, 7])
+def test_fold_equals_sequential_model(spark, mode, block_rows):
+    rows = random_rows(block_rows, 12, 600)
     want, folds = sequential_fold(rows, mode == O.GUARDED)
-    got, got_folds = run(spark, rows, mode, hot, block_rows)
+    got, got_folds = run(spark, rows, mode, block_rows)
     assert got == want
     assert got_folds == folds
 
 
-@pytest.mark.parametrize("hot", [[], ["big"]])
-def test_reset_forgets_the_partition(spark, hot):
+@pytest.mark.parametrize("block_rows", [1 << 20, 16])
+def test_reset_forgets_the_partition(spark, block_rows):
     rows = random_rows(5, 8, 300)
     marks = [100, 220]
     resets = [O.Reset("inventory-service", "order-lifecycle", 0, m) for m in marks]
     want, folds = sequential_fold(rows, False, marks)
-    got, got_folds = run(spark, rows, O.LAST_WRITE, hot, 16, resets)
+    got, got_folds = run(spark, rows, O.LAST_WRITE, block_rows, resets)
     assert got == want
     assert got_folds == folds
 
 
-def test_hot_keys_are_found_and_split(spark):
-    from eventfold.plans.hot import hot_keys
-
-    log = to_log(spark, random_rows(9, 20, 800))
-    assert hot_keys(log, F.col("key").cast("string"), 200) == ["big"]
-    assert hot_keys(log, F.col("key").cast("string"), 10_000) == []
+def test_hot_orders_are_found_by_decoded_id_and_cut_by_rows(spark):
+    """Null keys and a first record from the far future: neither hides the order nor pins its blocks."""
+    log = to_log(spark, random_rows(9, 20, 800)).where("value is not null")
+    log = log.withColumn("key", F.lit(None).cast("binary")).withColumn(
+        "timestamp", F.when(F.col("offset") == 0, F.timestamp_seconds(F.lit(4_000_000_000))).otherwise(F.col("timestamp"))
+    )
+    for topics in ((), ("order-lifecycle",)):
+        got = O.deliveries(log, ONE, block_rows=50, merge_topics=topics)
+        assert {r[0] for r in got.hot.select("order_id").distinct().collect()} == {"big"}
+        sizes = [r["count"] for r in got.hot.groupBy("block").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 150
+    assert O.deliveries(log, ONE, block_rows=10_000).hot is None
 
 
 def steps(spark, *rows):
     log = log_of(spark, [record(i, event_bytes("o", s, t, f"e{i}"), b"o") for i, (s, t) in enumerate(rows)])
-    return O.history(O.deliveries(log, ONE, hot=[]))
+    return O.history(O.deliveries(log, ONE, find_hot=False))
 
 
 def test_forced_step_is_illegal_without_a_gap(spark):
@@ -103,7 +109,7 @@ def test_lost_memory_reports_a_gap(spark):
     log = log_of(
         spark, [record(i, event_bytes("o", i + 1, t, f"e{i}"), b"o") for i, t in enumerate(TYPES[:3])]
     )
-    got = O.deliveries(log, ONE, hot=[])
+    got = O.deliveries(log, ONE, find_hot=False)
     hist = O.history(got, O.LAST_WRITE, resets=[O.Reset("inventory-service", "order-lifecycle", 0, 2)])
     v = O.violations(O.judge(hist)).where("type = 'SEQUENCE_GAP'").collect()
     assert [(r.expected, r.observed) for r in v] == [("1", "3")]
@@ -117,7 +123,7 @@ def test_completed_order_expects_nothing(spark):
 
 def test_null_key_tombstone_deletes_the_placeholder_order(spark):
     log = log_of(spark, [record(0, event_bytes("<null>", 1, "ORDER_CREATED"), None), record(1, None, None)])
-    hist = O.history(O.deliveries(log, ONE, hot=[]))
+    hist = O.history(O.deliveries(log, ONE, find_hot=False))
     assert [(r.order_id, r.deleted) for r in O.tombstones(hist).collect()] == [("<null>", True)]
 
 
@@ -127,8 +133,8 @@ def test_bad_stored_fold_stops_the_job(spark):
         df.select(O.decode_fold(F.col("v")).alias("f")).collect()
 
 
-@pytest.mark.parametrize("hot", [[], ["big"]])
-def test_deletes_on_their_own_topic_keep_their_place(spark, hot):
+@pytest.mark.parametrize("block_rows", [1 << 20, 16])
+def test_deletes_on_their_own_topic_keep_their_place(spark, block_rows):
     """Record i arrives at millisecond i, so the merged order is the order of the rows."""
     rows = random_rows(33, 8, 300)
     _, folds = sequential_fold([{**r, "ok": True} for r in rows])
@@ -137,7 +143,7 @@ def test_deletes_on_their_own_topic_keep_their_place(spark, hot):
         "offset", F.when(gone, F.col("offset") * 9).otherwise(F.col("offset"))
     )
     got = O.deliveries(
-        log, ONE, hot=hot, block_rows=16, block_micros=20_000, merge_topics=("order-lifecycle", "order-snapshot")
+        log, ONE, block_rows=block_rows, merge_topics=("order-lifecycle", "order-snapshot")
     )
     final = O.final_folds(O.history(got, order=O.MERGED)).collect()
     assert {r.order_id: (r.last_sequence, r.state, r.last_event_id, r.handled_count) for r in final} == folds

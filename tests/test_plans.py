@@ -32,7 +32,7 @@ def shuffles(df) -> int:
 
 
 def test_fold_and_findings_take_one_shuffle(log):
-    hist = O.history(O.deliveries(log, handler=fixture_handler, hot=[]))
+    hist = O.history(O.deliveries(log, handler=fixture_handler, find_hot=False))
     for out in (O.final_folds(hist), O.violations(O.judge(hist)), O.changelog(hist), O.tombstones(hist)):
         assert shuffles(out) == 1
         assert "Join" not in plan(out)
@@ -40,14 +40,17 @@ def test_fold_and_findings_take_one_shuffle(log):
 
 
 def test_no_window_over_everything(log):
-    hist = O.history(O.deliveries(log, handler=fixture_handler, hot=["x"], block_rows=10))
+    hist = O.history(O.deliveries(log, handler=fixture_handler, block_rows=4))
     assert "SinglePartition" not in plan(O.final_folds(hist))
 
 
 def test_hot_orders_spread_over_blocks(spark, log):
     """The hot path partitions rows by order and block, so one order is many tasks' work."""
-    text = plan(O.final_folds(O.history(O.deliveries(log, hot=["ord-000000000005"], block_rows=10))))
+    rows = O.deliveries(log, block_rows=4)
+    text = plan(O.final_folds(O.history(rows)))
     assert re.search(r"hashpartitioning\(order_id#\d+, block#", text)
+    cold = O.history(O.Deliveries(rows.cold))
+    assert shuffles(O.final_folds(cold)) == 1 and "SortMergeJoin" not in plan(cold)
 
 
 def test_decode_is_narrow_and_prunes(log):
@@ -81,6 +84,6 @@ def test_bounded_read_broadcasts_the_bounds(log):
 def test_guard_shuffles_commands_once(spark, tmp_path):
     RC.commands(spark, SF).write.parquet(str(tmp_path / "c"))
     table = spark.read.parquet(str(tmp_path / "c"))
-    assert shuffles(CM.guard(table, hot=[])) == 1
-    text = plan(CM.guard(table, hot=["ord-000000000005"], block_rows=100))
+    assert shuffles(CM.guard(table, find_hot=False)) == 1
+    text = plan(CM.guard(table, block_rows=8))
     assert "SinglePartition" not in text

@@ -36,7 +36,7 @@ def test_restarted_stream_equals_batch(spark, tmp_path):
         r.offset: (r.redelivery, r.seq_gap, r.illegal, r.last_sequence, r.state, r.handled_count)
         for r in spark.read.parquet(out).where("not is_tombstone").collect()
     }
-    hist = O.history(O.deliveries(to_log(spark, rows), ONE, handler, hot=[]))
+    hist = O.history(O.deliveries(to_log(spark, rows), ONE, handler, find_hot=False))
     batch = {
         r.offset: (r.redelivery, r.seq_gap, r.illegal, r.cur.sequence if r.cur else None, r.cur.state if r.cur else None, r.handled)
         for r in O.judge(hist).collect()
