@@ -19,8 +19,10 @@ from eventfold.operators.failures import (
 )
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec
 from eventfold.plans.hot import BLOCK_ROWS
-from eventfold.plans.scan import running
+from eventfold.plans.hot import int_div
+from eventfold.plans.scan import numbered, running
 from eventfold.schemas import LOG_SCHEMA, RETRY_TOPIC
+from eventfold.sources.offsets import log_bounds
 from eventfold.session import work_dir
 
 
@@ -120,6 +122,44 @@ def as_log(records: DataFrame, offset: Column, timestamp: Column) -> DataFrame:
     )
 
 
+def at_end(records: DataFrame, log: DataFrame, timestamp: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Addressed records appended to ``log``: positions from each partition's end on.
+
+    Records carry the lane position they come from as ``lane_partition`` and ``lane_offset``
+    and keep that order. The end is the log's as read here, before anything is written.
+    """
+    ends = log_bounds(log).select("topic", "partition", "high")
+    cut = records.withColumn("_cell", int_div(F.col("lane_offset"), block_rows))
+    keys = ["topic", "partition"]
+    ranked = numbered(cut, keys, ["lane_partition", "_cell"], ["lane_offset"])
+    placed = ranked.join(ends, keys, "left")
+    return as_log(placed, F.coalesce("high", F.lit(0)) + F.col("rank"), timestamp)
+
+
+def release_due(
+    lane: DataFrame,
+    log: DataFrame,
+    now: Column,
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
+    *,
+    gate=due_gate_hol,
+    block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Run the retry lane once: ``(records to append, records still waiting)``.
+
+    Nothing leaves before the gate lets it. What is due goes back to the end of its source
+    log or, when no service can run it, to the end of the dead-letter log; both ends are
+    taken from ``log``. ``lane`` is read twice and should be a written table.
+    """
+    gated = gate(with_retry_fields(lane), now, block_rows)
+    marked = gated.withColumn("lane_partition", F.col("partition")).withColumn("lane_offset", F.col("offset"))
+    judged = judge_due(marked.where("released"), services)
+    keep = ["lane_partition", "lane_offset"]
+    records = release(judged, keep).unionByName(give_up(judged, now, keep))
+    waiting = gated.where("not released").select(*lane.columns)
+    return at_end(records, log, now, block_rows), waiting
+
+
 def retry_rounds(
     log: DataFrame,
     handler: Handler,

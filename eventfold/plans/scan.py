@@ -18,6 +18,19 @@ _MERGE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def numbered(df: DataFrame, keys: Sequence[str], cells: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Add a dense position from 0 per ``keys``, along ``cells`` and ``order`` inside them.
+
+    ``cells`` cut the rows of a key into parts that fit a task. Parts are counted first, so
+    no window spans a key's rows. ``cells`` must not be null.
+    """
+    sizes = df.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_n"))
+    before = (F.sum("_n").over(Window.partitionBy(*keys).orderBy(*cells)) - F.col("_n")).alias("_before")
+    inside = F.row_number().over(Window.partitionBy(*keys, *cells).orderBy(*order)) - 1
+    placed = df.withColumn("_inside", inside).join(sizes.select(*keys, *cells, before), [*keys, *cells])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

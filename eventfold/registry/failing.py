@@ -11,6 +11,7 @@ from eventfold.operators import failures as O
 from eventfold.operators import retry as R
 from eventfold.registry import register
 from eventfold.registry.sql import cte, iso, using
+from eventfold.schemas import DLQ_TOPIC
 from eventfold.session import written
 from eventfold.sources.order_log import START_MILLIS, fixture_handler, lifecycle_log, order_number
 
@@ -165,17 +166,53 @@ def due_gate_tiered(spark, d):
     return _gate(R.due_gate_tiered(lane, now(), block_rows=4096))
 
 
+cte(
+    "due",
+    f"""SELECT * FROM (SELECT *, max(greatest(due_ms, failed_ms)) OVER (PARTITION BY p ORDER BY pos) AS release_ms FROM lane)
+    WHERE release_ms <= {NOW_MS}""",
+    "lane",
+)
+cte("ends", "SELECT p AS ep, max(off) + 1 AS high FROM log GROUP BY p", "log")
+cte("dead_ends", "SELECT p AS ep, max(pos) + 1 AS high FROM dlq GROUP BY p", "dlq")
+APPENDED = """CAST(coalesce(high, 0) + row_number() OVER (PARTITION BY p ORDER BY pos) - 1 AS BIGINT)"""
+
+
+def logs(spark, d):
+    """The logs that released records are appended to."""
+    dead = O.to_failure_logs(routed(spark, d), F.col("moment"), keep=["position", "moment"])
+    return lifecycle_log(spark, d).unionByName(R.as_log(dead, F.col("position"), F.col("moment")))
+
+
+def released(spark, d, lane):
+    return R.release_due(written(lane, "lane"), logs(spark, d), now(), block_rows=4096)
+
+
 @register(
     "to_source",
     using(
-        f"""SELECT 'order-lifecycle' AS topic, p AS "partition", pos AS "offset", order_id AS key_text, {PROVENANCE_SQL},
-        CAST(next_attempt AS VARCHAR) AS attempt, service AS retry_target FROM lane""",
-        "lane",
+        f"""SELECT 'order-lifecycle' AS topic, p AS "partition", {APPENDED} AS "offset", order_id AS key_text, {PROVENANCE_SQL},
+        CAST(next_attempt AS VARCHAR) AS attempt, service AS retry_target FROM due LEFT JOIN ends ON p = ep""",
+        "due",
+        "ends",
     ),
 )
 def to_source(spark, d):
-    back = R.release(R.judge_due(waiting(spark, d)), ["offset", "due_at"])
-    return flat(R.as_log(back, F.col("offset"), F.col("due_at")), *PROVENANCE, H.ATTEMPT, H.RETRY_TARGET)
+    back, _ = released(spark, d, retry_lane(spark, d))
+    return flat(back, *PROVENANCE, H.ATTEMPT, H.RETRY_TARGET)
+
+
+@register(
+    "retry_waiting",
+    using(
+        """SELECT p AS "partition", pos AS "offset", order_id AS key_text FROM lane WHERE NOT EXISTS (SELECT 1 FROM due WHERE due.p = lane.p AND due.pos = lane.pos)""",
+        "lane",
+        "due",
+    ),
+)
+def retry_waiting(spark, d):
+    """What the gate keeps back."""
+    _, left = released(spark, d, retry_lane(spark, d))
+    return left.select("partition", "offset", X.key_text(F.col("key")).alias("key_text"))
 
 
 def damaged_lane(spark, d):
@@ -193,21 +230,22 @@ def damaged_lane(spark, d):
 @register(
     "retry_give_up",
     using(
-        """SELECT pos AS "offset", order_id AS key_text,
+        f"""SELECT p AS "partition", {APPENDED} AS "offset", order_id AS key_text,
         CASE WHEN k % 7 = 0 THEN 'billing' WHEN k % 11 = 0 THEN '<unset>' ELSE service END AS service,
         CASE WHEN k % 7 = 0 THEN 'billing-service' WHEN k % 11 = 0 THEN '<unset>-service' ELSE group_id END AS consumer_group,
         CAST(next_attempt AS VARCHAR) AS attempts_made,
         CASE WHEN k % 7 = 0 THEN 'x-service header ''billing'' names no registered service (known: analytics, inventory, notification)'
              WHEN k % 11 = 0 THEN 'x-service header '''' names no registered service (known: analytics, inventory, notification)'
              ELSE 'undecodable message: not_json_object' END AS error_message
-        FROM lane WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0""",
-        "lane",
+        FROM due LEFT JOIN dead_ends ON p = ep WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0""",
+        "due",
+        "dead_ends",
     ),
 )
 def retry_give_up(spark, d):
-    judged = R.judge_due(R.with_retry_fields(damaged_lane(spark, d)))
-    dead = R.as_log(R.give_up(judged, now(), ["offset"]), F.col("offset"), now())
-    return flat(dead, H.SERVICE, H.CONSUMER_GROUP, H.ATTEMPTS_MADE, H.ERROR_MESSAGE).drop("topic", "partition")
+    out, _ = released(spark, d, damaged_lane(spark, d))
+    dead = out.where(F.col("topic") == DLQ_TOPIC)
+    return flat(dead, H.SERVICE, H.CONSUMER_GROUP, H.ATTEMPTS_MADE, H.ERROR_MESSAGE).drop("topic")
 
 
 cte(

@@ -9,7 +9,7 @@ from eventfold.operators.services import DEFAULT_SERVICES
 from eventfold.operators.services import analytics_counts as count_types
 from eventfold.registry import register
 from eventfold.registry.commands import commands, guarded
-from eventfold.registry.failing import retry_lane
+from eventfold.registry.failing import APPENDED, logs, now, retry_lane
 from eventfold.registry.serving import handled_rows
 from eventfold.registry.sql import using
 from eventfold.schemas import DLQ_TOPIC, LIFECYCLE_TOPIC, RETRY_TOPIC
@@ -106,8 +106,10 @@ def sink_dlq(spark, d):
 @register(
     "sink_source",
     using(
-        """SELECT 'order-lifecycle' AS topic, p AS "partition", pos AS "offset", service AS retry_target, CAST(next_attempt AS VARCHAR) AS attempt FROM lane""",
-        "lane",
+        f"""SELECT 'order-lifecycle' AS topic, p AS "partition", {APPENDED} AS "offset", service AS retry_target,
+        CAST(next_attempt AS VARCHAR) AS attempt FROM due LEFT JOIN ends ON p = ep""",
+        "due",
+        "ends",
     ),
 )
 def sink_source(spark, d):
@@ -115,7 +117,7 @@ def sink_source(spark, d):
     configure(spark)
     lane, out, ckpt = (work_dir(spark, n) for n in ("lane", "released", "ckpt"))
     retry_lane(spark, d).write.parquet(lane)
-    J.run_batches(stream_log(spark, lane), J.release_sink(out), ckpt)
+    J.run_batches(stream_log(spark, lane), J.release_sink(out, lambda: logs(spark, d), now), ckpt)
     h = F.col("headers")
     return spark.read.parquet(out).where(F.col("topic") == LIFECYCLE_TOPIC).select(
         "topic", "partition", "offset", H.header(h, H.RETRY_TARGET).alias("retry_target"), H.header(h, H.ATTEMPT).alias("attempt")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions import text as X
@@ -16,11 +16,12 @@ from eventfold.operators.failures import (
     route_failures,
     to_failure_logs,
 )
-from eventfold.operators.retry import as_log, give_up, judge_due, release, with_retry_fields
+from eventfold.operators.retry import as_log, release_due, with_retry_fields
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler
 from eventfold.plans.hot import int_div
-from eventfold.schemas import SNAPSHOT_TOPIC
+from eventfold.schemas import LOG_COLUMNS, LOG_SCHEMA, SNAPSHOT_TOPIC
+from eventfold.session import written
 from eventfold.sources.sinks import write_batch
 from eventfold.streaming import processors as P
 
@@ -111,19 +112,26 @@ def failure_sink(
     return write
 
 
-def release_sink(path: str, services: Sequence[ServiceSpec] = DEFAULT_SERVICES):
-    """A ``foreachBatch`` function putting due records back on their source log.
+def release_sink(path: str, log: Callable[[], DataFrame], now: Callable[[], Column], services: Sequence[ServiceSpec] = DEFAULT_SERVICES):
+    """A ``foreachBatch`` function putting due records at the end of the log they came from.
 
-    Records nothing can run go to the dead-letter log, in the same repeatable write.
+    Records nothing can run go to the dead-letter log's end, in the same repeatable write.
+    Records that are not due wait in ``<path>-waiting``: each batch judges those of the
+    batch before again. ``log`` reads the logs
+    as they stand; what earlier batches appended below ``path`` counts as part of them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_due(with_retry_fields(batch), services)
-        moment = F.coalesce("due_at", "timestamp")
-        placed = judged.withColumn("moment", moment)
-        back = release(placed, ["offset", "moment"])
-        dead = give_up(placed, F.col("moment"), ["offset", "moment"])
-        write_batch(as_log(back.unionByName(dead), F.col("offset"), F.col("moment")), path, batch_id)
+        spark, moment = batch.sparkSession, now()
+        waited = f"{path}-waiting/batch={batch_id - 1}"
+        lane, ends = batch.select(*LOG_COLUMNS), log().select("topic", "partition", "offset")
+        if batch_id:
+            lane = lane.unionByName(spark.read.schema(LOG_SCHEMA).parquet(waited))
+            earlier = spark.read.schema(f"{LOG_SCHEMA}, batch bigint").parquet(path).where(F.col("batch") < batch_id)
+            ends = ends.unionByName(earlier.select("topic", "partition", "offset"))
+        due, waiting = release_due(written(lane, "lane"), ends, moment, services)
+        waiting.write.mode("overwrite").parquet(f"{path}-waiting/batch={batch_id}")
+        write_batch(due, path, batch_id)
 
     return write
 
