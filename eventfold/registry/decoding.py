@@ -57,21 +57,24 @@ def validate_event(spark, d):
     "event_defaults",
     using(
         """SELECT p AS "partition", off AS "offset",
-        sha256('order-lifecycle/' || p || '/' || off) AS event_id, ms AS occurred_ms, '{}' AS payload
-        FROM log WHERE kind = 'event' AND ty IN ('PACKED', 'DELIVERED')""",
+        sha256('order-lifecycle/' || p || '/' || off) AS event_id, ms AS occurred_ms,
+        CASE WHEN ty IN ('PACKED', 'DELIVERED') THEN '{}' ELSE 'given' END AS payload
+        FROM log WHERE kind = 'event'""",
         "log",
     ),
 )
 def event_defaults(spark, d):
-    """Events stripped to their required fields get an id, a time and an empty payload."""
+    """Events stripped to their required fields get an id, a time and, where none is required, an empty payload."""
     log = lifecycle_log(spark, d)
-    whole = parse_event(log, with_payload=False).where(F.col("event_type").isin("PACKED", "DELIVERED"))
-    bare = whole.withColumn(
-        "value", F.encode(F.to_json(F.struct("order_id", "sequence", "event_type")), "UTF-8")
-    ).select(*log.columns)
+    whole = parse_event(log.withColumn("body", F.col("value")), with_payload=False).where(F.col("event_type").isNotNull())
+    needed = F.when(F.col("event_type").isin("ORDER_CREATED", "SHIPPED"), F.get_json_object(F.col("body").cast("string"), "$.payload"))
+    head = F.to_json(F.struct("order_id", "sequence", "event_type"))
+    text = F.when(needed.isNull(), head).otherwise(F.concat(F.rtrim(head, F.lit("}")), F.lit(',"payload":'), needed, F.lit("}")))
+    bare = whole.withColumn("value", F.encode(text, "UTF-8")).select(*log.columns)
+    payload = F.to_json("payload")
     return parse_event(bare).select(
         "partition", "offset", "event_id", F.unix_millis("occurred_at").alias("occurred_ms"),
-        F.to_json("payload").alias("payload"),
+        F.when(payload == "{}", payload).when(payload.isNotNull(), F.lit("given")).alias("payload"),
     )
 
 

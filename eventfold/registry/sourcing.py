@@ -162,7 +162,16 @@ def print_limit(spark, d):
     return P.print_limit(lifecycle_log(spark, d), 50)
 
 
-@register("key_partition")
+@register(
+    "key_partition",
+    using(
+        """SELECT key_text, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key_text) + 1),
+        lambda i: CAST(ascii(substr(key_text, i, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT)) % 3 AS INTEGER) AS home
+        FROM (SELECT DISTINCT order_id AS key_text FROM log)""",
+        "log",
+    ),
+)
 def key_partition(spark, d):
     return lifecycle_log(spark, d).select(
         X.key_text(F.col("key")).alias("key_text"), P.key_partition(F.col("key"), 3).alias("home")
