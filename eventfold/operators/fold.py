@@ -92,8 +92,8 @@ def deliveries(
 
     def delivered(rows: DataFrame) -> DataFrame:
         routed = fan_out(rows, services).withColumn("route", branch(F.col("service"), snapshot_topic))
-        mine = routed.where(F.col("route").isin("event", "tombstone")).drop("handled_types", "is_poison")
-        handled = apply_handler(mine, handler)
+        mine = routed.where(F.col("route").isin("event", "tombstone")).drop("is_poison")
+        handled = apply_handler(mine, handler).drop("handled_types")
         keep = ~F.col("is_tombstone")
         return handled.withColumn("error_class", F.when(keep, F.col("error_class"))).withColumn(
             "handler_ok", keep & F.col("handler_ok")

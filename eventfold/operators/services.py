@@ -68,12 +68,18 @@ def service_fanout(events: DataFrame, services: Sequence[ServiceSpec] = DEFAULT_
 
 
 def apply_handler(rows: DataFrame, handler: Handler | None) -> DataFrame:
-    """Run a handler and add ``handler_ok``; without a handler every row succeeds."""
+    """Run a handler and add ``handler_ok``; without a handler every row succeeds.
+
+    A service has no handler for event types outside ``handled_types``; such events succeed.
+    """
     if handler is None:
         none = F.lit(None).cast("string")
         rows = rows.withColumn("error_class", none).withColumn("error_message", none)
     else:
+        ours = F.coalesce(F.array_contains("handled_types", F.col("event_type")), F.lit(False))
         rows = handler(rows)
+        for name in ("error_class", "error_message"):
+            rows = rows.withColumn(name, F.when(ours, F.col(name)))
     return rows.withColumn("handler_ok", F.col("error_class").isNull())
 
 

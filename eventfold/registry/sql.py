@@ -83,9 +83,9 @@ cte(
     "dlv",
     """SELECT log.*, services.service, services.group_id, services.ord,
     kind = 'tombstone' AS stone,
-    CASE WHEN kind <> 'event' THEN NULL WHEN (k + s) % 47 = 0 THEN 'NonRetryableError'
+    CASE WHEN kind <> 'event' OR (service = 'inventory' AND ty IN ('PACKED', 'DELIVERED')) THEN NULL WHEN (k + s) % 47 = 0 THEN 'NonRetryableError'
          WHEN (k + s) % 43 = 0 AND service = 'notification' THEN 'RetryableError' END AS err,
-    CASE WHEN kind <> 'event' THEN NULL
+    CASE WHEN kind <> 'event' OR (service = 'inventory' AND ty IN ('PACKED', 'DELIVERED')) THEN NULL
          WHEN (k + s) % 47 = 0 THEN 'HANDLER_FAILURE_MODE=poison: ' || order_id || ' seq ' || s || ' can never be processed'
          WHEN (k + s) % 43 = 0 AND service = 'notification'
          THEN 'HANDLER_FAILURE_MODE=transient: ' || order_id || ' seq ' || s || ' failed attempt ' || att || ' of 3' END AS err_text

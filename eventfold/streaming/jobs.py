@@ -34,8 +34,10 @@ def seen_by(rows: DataFrame, services: Sequence[ServiceSpec], handler: Handler |
     """
     out, each = rows, []
     for i, s in enumerate(services):
-        mine = out.withColumn("service", F.lit(s.name)).withColumn("group_id", F.lit(s.group))
-        done = apply_handler(mine, handler)
+        mine = out.withColumn("service", F.lit(s.name)).withColumn("group_id", F.lit(s.group)).withColumn(
+            "handled_types", F.array(*[F.lit(t) for t in s.handled]).cast("array<string>")
+        )
+        done = apply_handler(mine, handler).drop("handled_types")
         ours = branch(F.lit(s.name), SNAPSHOT_TOPIC).isin("event", "tombstone")
         entry = F.struct(
             F.lit(s.group).alias("group_id"), (F.col("handler_ok") & ~F.col("is_tombstone")).alias("handler_ok")

@@ -9,7 +9,7 @@ from eventfold.operators import fold as O
 from eventfold.operators.services import ServiceSpec
 from helpers import TYPES, event_bytes, log_of, record, sequential_fold
 
-ONE = (ServiceSpec("inventory", ()),)
+ONE = (ServiceSpec("inventory", TYPES),)
 
 
 def random_rows(seed, orders, n):
@@ -147,3 +147,14 @@ def test_deletes_on_their_own_topic_keep_their_place(spark, block_rows):
     )
     final = O.final_folds(O.history(got, order=O.MERGED)).collect()
     assert {r.order_id: (r.last_sequence, r.state, r.last_event_id, r.handled_count) for r in final} == folds
+
+
+def test_events_without_a_handler_succeed(spark):
+    """Inventory has no handler for PACKED, so a handler that always fails cannot fail there."""
+    log = log_of(spark, [record(i, event_bytes("o", i + 1, t, f"e{i}"), b"o") for i, t in enumerate(TYPES)])
+
+    def failing(df):
+        return df.withColumn("error_class", F.lit("RetryableError")).withColumn("error_message", F.lit("x"))
+
+    got = O.deliveries(log, (ServiceSpec("inventory", ("ORDER_CREATED", "SHIPPED")),), failing, find_hot=False).cold
+    assert {r.event_type: r.handler_ok for r in got.collect()} == {t: t in ("PACKED", "DELIVERED") for t in TYPES}

@@ -13,10 +13,10 @@ from eventfold.sources.logs import stream_log
 from eventfold.sources.sinks import table_sink
 from eventfold.streaming import jobs as J
 from eventfold.streaming.processors import RELEASE_OUTPUT
-from helpers import log_of, record
+from helpers import TYPES, log_of, record
 from test_fold import random_rows, to_log
 
-ONE = (ServiceSpec("inventory", ()),)
+ONE = (ServiceSpec("inventory", TYPES),)
 
 
 def test_restarted_stream_equals_batch(spark, tmp_path):
