@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +24,35 @@ SESSION_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the defaults to a running session."""
+    """Apply the defaults to a running session and make the package known to its executors."""
     for name, value in SESSION_CONF.items():
         spark.conf.set(name, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per Spark context.
+
+    Spark's file server carries them, so executors need neither an installation nor a shared
+    folder. With the package installed everywhere, or given by ``--py-files``, it is harmless.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_eventfold_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it came in an archive that the executors have already
+        path = os.path.join(tempfile.mkdtemp(prefix="eventfold-"), "eventfold_src.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        context.addPyFile(path)
+    context._eventfold_shipped = True
+
+
 def build_session(app: str = "eventfold", master: str | None = None, **conf) -> SparkSession:
     """Build a session with the defaults; extra settings use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
