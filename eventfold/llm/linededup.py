@@ -74,11 +74,21 @@ class Probes(dict):
         return self[n]
 
 
-def sketch(line: bytes) -> int:
-    """Sixteen counts modulo 16 of bytes by their low bits, four bits each."""
-    counts = (np.bincount(np.frombuffer(line, np.uint8) & 15, minlength=16) & 15).astype(np.uint64)
-    low = int((counts << _SHIFTS).sum())
-    return low - (1 << 64) if low >> 63 else low
+def sketches(lines: list[bytes]) -> np.ndarray:
+    """Sixteen counts modulo 16 of each line's bytes by their low bits, four bits each."""
+    out = np.zeros(len(lines), np.uint64)
+    at = 0
+    while at < len(lines):
+        stop, room = at, 1 << 22
+        while stop < len(lines) and (stop == at or room > len(lines[stop])):
+            room -= len(lines[stop])
+            stop += 1
+        low = np.frombuffer(b"".join(lines[at:stop]), np.uint8) & 15
+        cell = np.repeat(np.arange(stop - at, dtype=np.int64) * 16, [len(x) for x in lines[at:stop]]) + low
+        counts = (np.bincount(cell, minlength=16 * (stop - at)).reshape(-1, 16) & 15).astype(np.uint64)
+        out[at:stop] = (counts << _SHIFTS).sum(1, dtype=np.uint64)
+        at = stop
+    return out.view(np.int64)
 
 
 def sketches_near(a: np.ndarray, b: np.ndarray, edits: int = EDITS) -> np.ndarray:
@@ -177,7 +187,7 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         probes, digest = Probes(), xxhash.xxh64_intdigest
         for batch in batches:
-            keys, flags, ids, counts, times, seen = [], [], [], [], [], set()
+            keys, flags, ids, fresh, times, seen = [], [], [], [], [], set()
             for text in texts_of(batch, "text"):
                 for _, line in long_lines(text):
                     h = line_hash(line)
@@ -188,12 +198,12 @@ def segment_rows(docs: DataFrame) -> DataFrame:
                     keys += [digest(line[at : at + size], seed) for seed, at, size, _ in plan]
                     flags += [x[3] for x in plan]
                     ids.append(h)
-                    counts.append(sketch(line))
+                    fresh.append(line)
                     times.append(len(plan))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)),
-                    pa.array(np.repeat(np.array(counts, np.int64), times)), pa.array(np.array(flags, np.int64)),
+                    pa.array(np.repeat(sketches(fresh), times)), pa.array(np.array(flags, np.int64)),
                 ],
                 names=["key", "h", "counts", "indexed"],
             )
@@ -314,17 +324,30 @@ def _verify_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def flush():
         piece, h, lines = np.array([x[0] for x in held]), np.array([x[1] for x in held], np.int64), [x[2] for x in held]
-        counts = np.array([sketch(x) for x in lines], np.int64)
-        sets, out = Sets(len(h)), []
+        counts = sketches(lines)
+        sets, out, wait = Sets(len(h)), [], []
+
+        def verify():
+            i, j = (np.concatenate(x) for x in zip(*wait))
+            far = sets.root[i] != sets.root[j]
+            i, j = i[far], j[far]
+            near = close([lines[k] for k in i], [lines[k] for k in j])
+            a, b = sets.join(i[near], j[near])
+            out.append(np.c_[h[a], h[b]].reshape(-1, 2))
+            wait.clear()
+
         for step in range(1, len(h)):
             i = np.arange(len(h) - step)
             i = i[(h[i] != h[i + step]) & (sets.root[i] != sets.root[i + step])]
             if last[1] != last[2]:
                 i = i[piece[i] != piece[i + step]]
             i = i[sketches_near(counts[i], counts[i + step])]
-            i = i[close([lines[k] for k in i], [lines[k + step] for k in i])] if len(i) else i
-            a, b = sets.join(i, i + step)
-            out.append(np.c_[h[a], h[b]].reshape(-1, 2))
+            if len(i):
+                wait.append((i, i + step))
+            if sum(len(x) for x, _ in wait) >= TEXT_PIECE:
+                verify()
+        if wait:
+            verify()
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 

@@ -82,7 +82,7 @@ def test_probes_find_every_close_pair():
         a, b = sorted((a, b), key=len)
         index = {(s, a[at : at + n]) for s, at, n, flag in plan[len(a)] if flag}
         assert index & {(s, b[at : at + n]) for s, at, n, _ in plan[len(b)]}
-        assert linededup.sketches_near(np.array([linededup.sketch(a)]), np.array([linededup.sketch(b)]))[0]
+        assert linededup.sketches_near(*np.split(linededup.sketches([a, b]), 2))[0]
 
 
 @pytest.mark.parametrize("small,piece,text_piece", [(32, 1 << 13, 1 << 11), (3, 1 << 13, 4), (3, 6, 4)])
