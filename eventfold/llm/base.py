@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.session import written  # noqa: F401  re-exported for the operators
+from eventfold.session import ship, written  # noqa: F401  written is re-exported for the operators
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +31,8 @@ def register(name: str, sql: str | None = None):
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Limit the Arrow batches that carry texts to Python workers."""
+    """Limit the Arrow batches that carry texts to Python workers, and send the package there."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

@@ -141,6 +141,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     rows = scan(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.array_sort(F.concat("base", "entropy"))).alias("spans"),
+        F.size("entropy").cast("bigint").alias("n_entropy"),
     )
