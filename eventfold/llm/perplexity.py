@@ -1,6 +1,6 @@
 """Quality rules: simple text measures, and perplexity bands of an n-gram model per language.
 
-The model is an interpolated modified Kneser-Ney model over the last ORDER characters.
+The model is an interpolated modified Kneser-Ney model of ORDER consecutive characters.
 Characters rather than words, so that what a task holds stays small however large the
 corpus is; every document is counted. Tasks count their texts, Spark adds the counts up
 and derives continuation counts, discounts and probabilities by grouping and joining. A
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from eventfold.llm.base import register, table, texts_of, written
 
-ORDER = 4
+ORDER = 3
 MODEL_ROWS = 4_000_000
 FENCE = 4.0
 #: Characters counted or looked up at once.
@@ -123,11 +123,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 def _low(gram: str, order: int) -> Column:
     """The last ``order`` characters of a packed gram."""
-    return F.col(gram).bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else F.col(gram)
+    return F.col(gram).bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows (lang, gram, logp): natural log probability of each seen gram's last character."""
+    """Rows (lang, gram, logp): natural log probability of each seen gram's last character.
+
+    ``counts`` is read several times and should be a written table.
+    """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # how many different characters stand before the shorter gram
         levels[k] = written(levels[k + 1].groupBy("lang", _low("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"kn-{k}")
@@ -149,7 +152,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             short = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
             rows = rows.withColumn("suffix", _low("gram", k - 1)).join(short, ["lang", "suffix"])
             lower = rows.select("lang", "gram", (own + left * F.col("q")).alias("p"))
-        lower = written(lower, f"kn-p{k}") if k > 1 else lower
+        lower = written(lower, f"kn-p{k}")
     return lower.select("lang", "gram", F.log("p").alias("logp"))
 
 
@@ -238,8 +241,11 @@ def scored(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     if model.count() > model_rows:
         rows = _joined(docs, model)
     else:
-        got = model.toPandas()
-        rows = _measured(docs, {lang: Arrays(own.gram.to_numpy(np.int64), own.logp.to_numpy()) for lang, own in got.groupby("lang")})
+        models = {}
+        for lang in sorted(r.lang for r in model.select("lang").distinct().collect()):
+            own = model.where(F.col("lang") == lang).select("gram", F.col("logp").cast("float").alias("logp")).toArrow()
+            models[lang] = Arrays(own.column(0).to_numpy(), own.column(1).to_numpy())
+        rows = _measured(docs, models)
     rows = written(rows, "kn-scored")
     return rows.withColumn("log_perplexity", F.when(F.col("chars") > 0, -F.col("total") / F.col("chars")))
 
