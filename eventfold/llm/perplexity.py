@@ -10,7 +10,8 @@ are broadcast; beyond that the same scores come from joining gram counts to the
 
 A document's perplexity is taken under its own language's model. The band of a language
 runs from ``q1 - FENCE * (q3 - q1)`` to ``q3 + FENCE * (q3 - q1)`` of the log perplexity of
-its documents that pass the base rules, with quartiles exact to 0.001.
+its documents that pass the base rules, with quartiles exact to 0.001. A mean over few
+characters is noisy, so a document's own band is wider by ``NOISE / sqrt(characters)``.
 
 Defined cases: a null text has no words and fails the base rules. A null language is a
 language of its own. Characters beyond the basic plane count as one sign in the model.
@@ -30,7 +31,9 @@ from eventfold.llm.base import register, table, texts_of, written
 
 ORDER = 3
 MODEL_ROWS = 4_000_000
-FENCE = 4.0
+FENCE = 8.0
+#: Allowance for the noise of short texts: this over the square root of the characters.
+NOISE = 10.0
 #: Characters counted or looked up at once.
 CHUNK = 1 << 20
 MIX = 0x9E3779B97F4A7C15
@@ -267,7 +270,8 @@ def bands(rows: DataFrame, fence: float = FENCE) -> DataFrame:
 def judged(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Every document row with measures, log perplexity and verdict."""
     rows = scored(docs, model_rows)
-    within = F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    noise = NOISE / F.sqrt(F.greatest("chars", F.lit(1)))
+    within = F.col("log_perplexity").between(F.col("low") - noise, F.col("high") + noise)
     marked = rows.withColumn("base_failed", base_failed()).join(F.broadcast(bands(rows)), "lang", "left")
     return marked.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
 

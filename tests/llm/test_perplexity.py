@@ -87,4 +87,4 @@ def test_rejects_noise_keeps_prose(spark):
     rows = {r.doc_id: r for r in perplexity.op8(spark, "/root/testdata/sf0.01").collect()}
     quality = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
     good = [rows[i] for i, q in quality.items() if q == 1 and not rows[i].base_failed]
-    assert sum(r.kept for r in good) / len(good) > 0.97
+    assert sum(r.kept for r in good) / len(good) > 0.985
