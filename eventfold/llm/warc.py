@@ -167,7 +167,8 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHA
         pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.unhex(F.sha1(html)).alias("digest"), (F.octet_length(html) + 500).cast("bigint").alias("room"), F.octet_length(html).alias("n")),
         "warc-facts",
     )
-    bounds = spark.sparkContext.broadcast(shard_bounds(facts, shard_bytes))
+    cuts = shard_bounds(facts, shard_bytes)
+    bounds = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("bigint")
     def shard_of(ids):
@@ -186,7 +187,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHA
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     order = ["shard", "page_id", "kind", "url", F.xxhash64("html")]
-    sharded = rows.select(shard_of("page_id").alias("shard"), *rows.columns).repartition("shard").sortWithinPartitions(*order)
+    sharded = rows.select(shard_of("page_id").alias("shard"), *rows.columns).repartition(len(cuts) + 1, "shard").sortWithinPartitions(*order)
     sharded.mapInArrow(_writer(out, file_bytes, min_bytes), MANIFEST).write.parquet(f"{out}/_manifest")
     fs.delete_dir(f"{root}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{out}/_manifest")
