@@ -8,32 +8,47 @@ gram is packed into 64 bits, so its key is exact. For scoring, keys are mixed an
 a sorted array with an index over their leading bits. Up to MODEL_ROWS grams the arrays
 are broadcast; beyond that the same scores come from joining gram counts to the model.
 
-A document's perplexity is taken under its own language's model. The band of a language
-runs from ``q1 - FENCE * (q3 - q1)`` to ``q3 + FENCE * (q3 - q1)`` of the log perplexity of
-its documents that pass the base rules, with quartiles exact to 0.001. A mean over few
-characters is noisy, so a document's own band is wider by ``NOISE / sqrt(characters)``.
+A document's perplexity is taken under its own language's model. Beside it stands a word
+perplexity: words counted in two folds of the texts (equal texts share a fold), each text
+scored by the other fold, so never by its own counts. Up to HEAD frequent words are broadcast;
+all other words are joined to the texts that hold them, so the driver's share is bounded.
+
+Both are measured from their language's median, in ``sqrt((q3 - q1)^2 + NOISE^2 / length)``
+of the documents that pass the base rules (quartiles exact to 0.001; a mean over few signs is
+noisy). The permitted ranges are set on labelled documents outside the held-out fold: where
+rejected bad ones pay best, a good one lost counting COST times. Without labels of both kinds
+they reach FENCE to both sides.
 
 Defined cases: a null text has no words and fails the base rules. A null language is a
 language of its own. Characters beyond the basic plane count as one sign in the model.
-Repeated rows get equal rows. An empty table gives no rows.
+A language with words in one
+fold only has no word perplexity, which rejects nothing. Repeated rows get equal rows. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.base import register, table, texts_of, written
+from eventfold.llm.base import held_out, register, table, texts_of, written
 
 ORDER = 3
 MODEL_ROWS = 4_000_000
 FENCE = 8.0
-#: Allowance for the noise of short texts: this over the square root of the characters.
-NOISE = 10.0
+#: Noise of one word's and one character's log probability, in the scores' own units.
+WORD_NOISE, CHAR_NOISE = 3.0, 1.5
+#: Share of the good texts lost against share of the bad ones rejected, when ranges are set.
+COST = 20
+#: Frequent words that tasks hold; the others are joined.
+HEAD = 500_000
+WORD_DISCOUNT = 0.75
 #: Characters counted or looked up at once.
 CHUNK = 1 << 20
 MIX = 0x9E3779B97F4A7C15
@@ -257,28 +272,156 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(rows: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Rows (lang, low, high): the permitted log perplexities of each language."""
-    cells = rows.where(~base_failed()).groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("bigint").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+def _fold(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text) & 1
+
+
+def _word_keys(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes that name a word of a language."""
+    seed = xxhash.xxh32_intdigest(lang)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64).view(np.int64)
+
+
+def word_model(docs: DataFrame) -> DataFrame:
+    """Rows (word, often, logp0, logp1): how often a word occurs, and what it costs a text of fold 0 and 1.
+
+    The counts of the other fold are smoothed by absolute discounting.
+    """
+
+    def run(batches):
+        held: dict[tuple[str, int], Counter] = {}
+
+        def rows():
+            for (lang, fold), n in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n), pa.string()), pa.array([fold] * len(n), pa.int32()), pa.array(_word_keys(lang, list(n))), pa.array(list(n.values()), pa.int64())],
+                    names=["lang", "fold", "word", "n"],
+                )
+
+        for batch in batches:
+            for lang, (_, texts) in by_language(batch).items():
+                for text in texts:
+                    held.setdefault((lang, _fold(text)), Counter()).update(text.split())
+            if sum(map(len, held.values())) > 1 << 20:
+                yield from rows()
+                held = {}
+        yield from rows()
+
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, fold int, word bigint, n bigint")
+    each = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)]
+    counts = written(rows.groupBy("lang", "word").agg(*each), "words-counts")
+    sizes = counts.groupBy("lang").agg(
+        *[F.sum(f"n{f}").cast("double").alias(f"t{f}") for f in (0, 1)], *[F.count(F.when(F.col(f"n{f}") > 0, 1)).alias(f"k{f}") for f in (0, 1)]
+    )
+
+    def logp(f):
+        free = WORD_DISCOUNT * F.col(f"k{f}") / (F.col(f"k{f}") + 1)
+        return F.log(F.try_divide(F.greatest(F.col(f"n{f}") - WORD_DISCOUNT, F.lit(0.0)) + free, F.col(f"t{f}")))
+
+    return counts.join(F.broadcast(sizes), "lang").select("word", (F.col("n0") + F.col("n1")).alias("often"), logp(1).alias("logp0"), logp(0).alias("logp1"))
+
+
+def word_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    """Rows (key, word_total): log probability of each different document's words by the other fold.
+
+    The key is a hash of id, text and language.
+    """
+    model = word_model(docs)
+    top = model.orderBy(F.desc("often"), "word").limit(head).toArrow()
+    order = np.argsort(top.column("word").to_numpy())
+    keys, values = top.column("word").to_numpy()[order], np.stack([top.column(f"logp{f}").to_numpy()[order].astype(float) for f in (0, 1)])
+    del top
+    shared = docs.sparkSession.sparkContext.broadcast((keys, values))
+
+    def run(batches):
+        keys, values = shared.value
+        for batch in batches:
+            take, word, n, total = [], [], [], []
+            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch, "text"), strict=True)):
+                own = Counter(text.split())
+                hashes, times = _word_keys(lang, list(own)), np.array(list(own.values()), np.int64)
+                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+                known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
+                f, rare = _fold(text), ~known
+                take.append(np.full(rare.sum() + 1, i))
+                word += [[i], hashes[rare]]  # the first row is the document's own and joins nothing
+                n += [[0], 2 * times[rare] + f]
+                total += [[float((values[f][at[known]] * times[known]).sum())], np.zeros(rare.sum())]
+            take, word, n, total = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((take, int), (word, int), (n, int), (total, float)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array(word), pa.array(n), pa.array(total, mask=n > 0)], names=["key", "word", "n", "total"])
+
+    keyed = docs.select(document_key().alias("key"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = keyed.mapInArrow(run, "key bigint, word bigint, n bigint, total double").join(model, "word", "left")
+    rare = F.expr("n div 2") * F.when(F.col("n") % 2 == 0, F.col("logp0")).otherwise(F.col("logp1"))
+    own = F.col("n") == 0
+    # repeated rows come with all their words, so the sum is a multiple
+    return rows.groupBy("key").agg((F.sum(F.when(own, F.col("total")).otherwise(rare)) / F.count(F.when(own, 1))).alias("word_total"))
+
+
+def document_key() -> Column:
+    return F.xxhash64("doc_id", F.xxhash64("text", "lang"))
+
+
+def centred(rows: DataFrame, score: str, length: str, noise: float) -> DataFrame:
+    """``rows`` with column ``z_<score>``: the distance from the language's median in its own spread."""
+    cells = rows.where(~base_failed()).where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy("lang", F.round(F.col(score) * 1000).cast("bigint").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("lang")
     upto = cells.withColumn("upto", F.sum("n").over(run.orderBy("cell"))).withColumn("all", F.sum("n").over(run))
-    quarter = [F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("cell"))).alias(f"q{q}") for q in (1, 3)]
-    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(1))
-    return upto.groupBy("lang").agg(*quarter).select("lang", ((F.col("q1") - fence * width) / 1000).alias("low"), ((F.col("q3") + fence * width) / 1000).alias("high"))
+    quarter = [F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("cell") / 1000)).alias(f"q{q}") for q in (1, 2, 3)]
+    spread = F.sqrt(F.pow(F.greatest(F.col("q3") - F.col("q1"), F.lit(0.001)), 2) + noise**2 / F.greatest(F.col(length), F.lit(1)))
+    placed = rows.join(F.broadcast(upto.groupBy("lang").agg(*quarter)), "lang", "left")
+    return placed.withColumn(f"z_{score}", (F.col(score) - F.col("q2")) / spread).drop("q1", "q2", "q3")
+
+
+def fence(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> float:
+    """The limit above which rejecting pays best: bad texts' share less COST times that of good ones."""
+    at = np.unique(np.r_[good, bad])
+    lost = len(good) - np.searchsorted(np.sort(good), at, "right")
+    won = len(bad) - np.searchsorted(np.sort(bad), at, "right")
+    gain = won / n_bad - COST * lost / n_good
+    k = int(np.argmax(gain))
+    return float((at[k] + at[k + 1]) / 2) if k + 1 < len(at) else float(max(at[k], FENCE))
+
+
+def ranges(rows: DataFrame, labels: DataFrame | None) -> dict[str, tuple[float, float]]:
+    """Permitted z of both scores, word scores first; texts they reject no longer count for the other."""
+    out = dict.fromkeys(("z_word_log_perplexity", "z_log_perplexity"), (-FENCE, FENCE))
+    if labels is None:
+        return out
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    cell = [F.greatest(F.least(F.round(F.coalesce(c, F.lit(0.0)), 1), F.lit(60.0)), F.lit(-60.0)).alias(c) for c in out]
+    seen = rows.where(~base_failed() & ~held_out(F.col("doc_id"))).join(known, "doc_id").groupBy("quality", *cell).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    y, n = seen["quality"].to_numpy(), seen["n"].to_numpy()
+    n_good, n_bad = int(n[y == 1].sum()), int(n[y == 0].sum())
+    if not n_good or not n_bad:
+        return out
+    left = np.ones(len(y), bool)
+    for c in out:
+        z, limits = seen[c].to_numpy(float), []
+        for side in (1, -1):
+            v = side * z
+            limits.append(fence(*(np.repeat(v[left & (y == k)], n[left & (y == k)]) for k in (1, 0)), n_good, n_bad))
+            left &= v <= limits[-1]
+        out[c] = (-limits[1], limits[0])
+    return out
 
 
-def judged(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """Every document row with measures, log perplexity and verdict."""
+def judged(docs: DataFrame, model_rows: int = MODEL_ROWS, labels: DataFrame | None = None) -> DataFrame:
+    """Every document row with measures, both log perplexities and verdict."""
     rows = scored(docs, model_rows)
-    noise = NOISE / F.sqrt(F.greatest("chars", F.lit(1)))
-    within = F.col("log_perplexity").between(F.col("low") - noise, F.col("high") + noise)
-    marked = rows.withColumn("base_failed", base_failed()).join(F.broadcast(bands(rows)), "lang", "left")
-    return marked.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "part")).join(word_scores(docs), "key", "left").drop("key")
+    rows = rows.withColumn("word_log_perplexity", -F.try_divide("word_total", F.col("n_words").cast("double")))
+    rows = rows.withColumn("word_log_perplexity", F.when(~F.isnan("word_log_perplexity"), F.col("word_log_perplexity")))
+    rows = written(centred(centred(rows, "word_log_perplexity", "n_words", WORD_NOISE), "log_perplexity", "chars", CHAR_NOISE), "kn-judged")
+    within = F.lit(True)
+    for c, (low, high) in ranges(rows, labels).items():
+        within = within & F.coalesce(F.col(c).between(low, high), F.lit(True))
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within)
 
 
 @register("op8_ngram_perplexity_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
+    return judged(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "word_log_perplexity"
     )

@@ -88,3 +88,23 @@ def test_rejects_noise_keeps_prose(spark):
     quality = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
     good = [rows[i] for i, q in quality.items() if q == 1 and not rows[i].base_failed]
     assert sum(r.kept for r in good) / len(good) > 0.985
+
+
+@pytest.mark.parametrize("head", [10**6, 3])
+def test_word_scores_leave_the_own_fold_out(some, head):
+    rows, df = some
+    scores = perplexity.word_scores(df, head)
+    got = {r.doc_id: r.word_total for r in df.withColumn("key", perplexity.document_key()).join(scores, "key").collect()}
+    for i, lang, text in rows:
+        own = (text or "").encode()
+        other = Counter(w for _, x, t in rows if x == lang and t and perplexity._fold(t.encode()) != perplexity._fold(own) for w in t.encode().split())
+        if own.split() and other:
+            want = sum(math.log((max(other[w] - 0.75, 0) + 0.75 * len(other) / (len(other) + 1)) / sum(other.values())) for w in own.split())
+            assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
+def test_rejects_texts_labelled_bad(spark):
+    rows = {r.doc_id: r for r in perplexity.op8(spark, "/root/testdata/sf0.01").collect()}
+    quality = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    bad = [rows[i] for i, q in quality.items() if q == 0 and not rows[i].base_failed]
+    assert sum(not r.kept for r in bad) / len(bad) > 0.5
