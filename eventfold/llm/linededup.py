@@ -3,7 +3,9 @@
 Lines are the parts between line feeds. Lines of at least MIN_BYTES bytes belong to a
 class with all lines that a chain of links reaches; two lines are linked when their UTF-8
 bytes are at most EDITS edits apart. Of each class only the first line stays: smallest
-``doc_id`` (null first), then text hash, then line number. Shorter lines always stay.
+``doc_id`` (null first), then text hash, then line number. Shorter lines always stay in
+the query, as its SQL has it; with ``short``, as in the pipeline, exact repeats of shorter
+lines that are not blank go as well.
 
 A line is cut into EDITS + 1 segments. A line within EDITS edits holds one of them
 unchanged, at a place that is narrowed down by the two lengths, so each line probes a few
@@ -159,15 +161,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, part, line, h, h2) of all lines long enough; two hashes name a line."""
+def filled_lines(text: bytes) -> Iterator[tuple[int, bytes]]:
+    return ((i, x) for i, x in enumerate(text.split(b"\n")) if len(x) >= MIN_BYTES or x.strip())
+
+
+def occurrences(docs: DataFrame, short: bool = False) -> DataFrame:
+    """Rows (doc_id, part, line, h, h2) of all lines long enough, or not blank with ``short``; two hashes name a line."""
+    lines_of = filled_lines if short else long_lines
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             row, no, h, h2 = [], [], [], []
             for i, text in enumerate(texts_of(batch, "text")):
-                for k, line in long_lines(text):
+                for k, line in lines_of(text):
                     row.append(i)
                     no.append(k)
                     h.append(line_hash(line))
@@ -382,9 +389,9 @@ def line_links(docs: DataFrame) -> DataFrame:
     return close_pairs.union(cluster_pairs)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     """Lines to leave out: (doc_id, part, line) and the class's first line (first_doc, first_line)."""
-    seen = written(occurrences(docs), "line-occurrences")
+    seen = written(occurrences(docs, short), "line-occurrences")
     place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "part", "line")
     each = seen.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(line_links(docs), "line-classes").toDF("h", "root")
@@ -399,9 +406,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents with repeated lines left out, and ``removed``: their numbers and first places."""
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).agg(
+    gone = repeats(docs, short).groupBy(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).agg(
         F.array_sort(F.collect_list(F.struct("line", "first_doc", "first_line"))).alias("removed")
     )
     keyed = docs.withColumn("_part", F.xxhash64("text"))

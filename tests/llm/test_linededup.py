@@ -100,3 +100,12 @@ def test_repeated_rows_and_empty(spark, docs):
     got = linededup.without_repeats(docs([(1, line), (1, line), (2, line + "!")])).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, line), (1, line), (2, "")]
     assert linededup.without_repeats(docs([(1, "x")]).where("false")).collect() == []
+
+
+def test_short_repeats_go_from_the_pipeline(spark, docs):
+    from corpus_pipeline import line_dedup_stage
+
+    long = "a line that is long enough to be looked at, surely"
+    rows = [(1, "short line\n\n你好，世界，再见\nonce"), (2, "short line\n\n" + long + "\n你好，世界，再见\nshort lime"), (3, long + "!\nshort line"), (4, "x\nx\n \n ")]
+    got = {r.doc_id: r.text for r in line_dedup_stage(spark, docs(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\n" + long + "\nshort lime", 3: "", 4: "x\n \n "}
