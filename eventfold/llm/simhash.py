@@ -210,15 +210,20 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where("piece < 0").select("a", "b").union(across)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, part, fp, component_id), one per document row."""
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows (doc_id, part, fp, component_id, root), one per document row; ``root`` names the component by a fingerprint."""
     prints = written(fingerprints(docs), "simhash-prints")
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-unique")
     root = components(links(unique, radius), "simhash-components")
     member = root.join(unique, root.node == unique.fp).select("fp", "root", "first")
-    named = member.join(member.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
-    names = unique.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "part", "fp", "component_id")
+    named = member.join(member.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "root", "least")
+    names = unique.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(names, "fp").select("doc_id", "part", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows (doc_id, part, fp, component_id), one per document row."""
+    return near_groups(docs, radius).drop("root")
 
 
 def hex_of(fp: Column) -> Column:

@@ -44,3 +44,10 @@ def test_stages(spark, tmp_path):
     assert all(kept["decontamination"][i] == t for i, t in clean)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == everything - {100, 105, 103} and {r.capacity for r in got} <= {None, *packing.CAPACITIES}
+
+
+def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark, docs):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(None, a), (None, b), (1, b), (7, c), (7, d), (7, d), (8, d), (None, c.swapcase())]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (1, b), (7, c), (7, d)], key=repr)
