@@ -148,14 +148,19 @@ def align(texts: list[str | None], tok: Tokenizers) -> Iterator[Aligned]:
             continue
         whole = " " + text
         a, raw = tok.encode_a(whole), whole.encode()
-        if b"".join([tok.b_bytes[i] for i in b]) != raw or b"".join([tok.a_bytes[i] for i in a]) != raw:
+        if b"".join(map(tok.b_bytes.__getitem__, b)) != raw:
             yield _NONE
             continue
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b = tok.sizes[0][a].cumsum(), tok.sizes[1][b].cumsum()
-        at = np.searchsorted(end_b, end_a)  # both end with the text, so each place is one of B
-        cut_a = np.flatnonzero(end_b[at] == end_a)
-        yield Aligned(a, b, cut_a, at[cut_a])
+        if end_a[-1] != len(raw):  # merging bytes never changes them, so only their number can be wrong
+            yield _NONE
+            continue
+        place = np.zeros(len(raw) + 1, np.int32)
+        place[end_b] = np.arange(1, len(b) + 1)
+        at = place[end_a]
+        cut_a = np.flatnonzero(at)
+        yield Aligned(a, b, cut_a, at[cut_a] - 1)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
