@@ -262,8 +262,3 @@ def orders_after(results: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE) ->
         "last_sequence",
         lifecycle.expected_next(state).alias("expected_next_event"),
     )
-
-
-def get_order(orders: DataFrame, order_id: str) -> DataFrame:
-    """One order's record; no row means 404."""
-    return orders.where(F.col("order_id") == order_id)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from eventfold.functions import text as X
 from eventfold.operators import changelog as C
 from eventfold.operators import fold as FO
-from eventfold.operators.tables import snapshot_json, table_from_events
+from eventfold.operators.guarded import event_fold
+from eventfold.operators.tables import get_order, owner_rows, snapshot_json, table_from_events
+from eventfold.plans.compose import fold
 from eventfold.registry import register
 from eventfold.registry.folding import hist
 from eventfold.registry.sql import cte, using
@@ -190,45 +192,96 @@ def rebuild_partitions(spark, d):
     return shown(C.rebuild_partitions(log, path, [("order-fold.inventory-service", 1)]))
 
 
+#: The guard's rule over the log: a step counts only at or after the first legal one before it.
+cte(
+    "life",
+    """SELECT own.* FROM own JOIN (SELECT k, max(off) FILTER (WHERE stone) AS gone FROM own GROUP BY k) USING (k)
+    WHERE off > coalesce(gone, -1)""",
+    "own",
+)
+cte("reached1", "SELECT k, min(off) AS at1, 1 AS rank1 FROM life WHERE ty = 'ORDER_CREATED' GROUP BY k", "life")
+for i, event in enumerate(("PACKED", "SHIPPED", "DELIVERED"), 2):
+    cte(
+        f"reached{i}",
+        f"SELECT k, min(off) AS at{i}, {i} AS rank{i} FROM life JOIN reached{i - 1} USING (k) WHERE ty = '{event}' AND off > at{i - 1} GROUP BY k",
+        "life",
+        f"reached{i - 1}",
+    )
+cte(
+    "guard_state",
+    """SELECT k, order_id, at1, max(s) AS last_sequence, CASE max(coalesce(rank4, rank3, rank2, rank1))
+    WHEN 1 THEN 'CREATED' WHEN 2 THEN 'PACKED' WHEN 3 THEN 'SHIPPED' ELSE 'DELIVERED' END AS state
+    FROM life JOIN reached1 USING (k) LEFT JOIN reached2 USING (k) LEFT JOIN reached3 USING (k) LEFT JOIN reached4 USING (k)
+    WHERE off >= at1 GROUP BY ALL""",
+    "life",
+    "reached1",
+    "reached2",
+    "reached3",
+    "reached4",
+)
 cte(
     "order_table",
     """SELECT f.order_id, 'cust-' || b.ck AS customer_id, f.state, f.last_sequence, t.total AS total_amount,
     CASE b.k % 3 WHEN 0 THEN 'CARD' WHEN 1 THEN 'BKASH' ELSE 'NAGAD' END AS method, 'pay-' || b.k AS reference,
     CASE f.state WHEN 'CREATED' THEN 'PACKED' WHEN 'PACKED' THEN 'SHIPPED' WHEN 'SHIPPED' THEN 'DELIVERED' END AS expected_next_event, b.k
-    FROM t_fold f JOIN base b USING (k) JOIN totals t USING (k)""",
-    "t_fold",
+    FROM guard_state f JOIN base b USING (k) JOIN totals t USING (k)""",
+    "guard_state",
     "base",
     "totals",
 )
 
 
-@register(
-    "table_from_events",
-    using(
-        """SELECT order_id, customer_id, state, last_sequence, total_amount, method, reference, k % 3 + 1 AS items,
-        expected_next_event FROM order_table""",
-        "order_table",
-    ),
+_ORDER_TABLE = using(
+    """SELECT order_id, customer_id, state, last_sequence, total_amount, method, reference, k % 3 + 1 AS items,
+    expected_next_event FROM order_table""",
+    "order_table",
 )
-def orders_table(spark, d):
-    return table_from_events(lifecycle_log(spark, d)).select(
+
+
+def order_columns(table):
+    return table.select(
         "order_id", "customer_id", "state", "last_sequence", "total_amount", "payment.method", "payment.reference",
         F.size("items").cast("bigint").alias("items"), "expected_next_event",
     )
 
 
-@register(
-    "snapshot_view",
-    using(
-        """SELECT order_id, '{"order_id":"' || order_id || '","customer_id":"' || customer_id || '","state":"' || state
+@register("table_from_events", _ORDER_TABLE)
+def orders_table(spark, d):
+    return order_columns(table_from_events(lifecycle_log(spark, d)))
+
+
+@register("table_hot", _ORDER_TABLE)
+def orders_table_hot(spark, d):
+    """The order table with orders of more than eight records cut into blocks."""
+    return order_columns(table_from_events(lifecycle_log(spark, d), block_rows=8))
+
+
+_SNAPSHOT = """SELECT order_id, '{"order_id":"' || order_id || '","customer_id":"' || customer_id || '","state":"' || state
         || '","last_sequence":' || last_sequence || ',"total_amount":' || total_amount || ',"payment":{"method":"' || method
         || '","reference":"' || reference || '","amount":' || total_amount || '},"items":[' || items || '],"expected_next_event":'
         || coalesce('"' || expected_next_event || '"', 'null') || '}' AS snapshot
         FROM order_table JOIN (SELECT k, string_agg('{"sku":"' || sku || '","qty":' || qty || ',"unit_price":' || unit_price || '}', ',' ORDER BY i) AS items
-        FROM lines GROUP BY k) USING (k)""",
-        "order_table",
-        "lines",
-    ),
-)
+        FROM lines GROUP BY k) USING (k)"""
+
+
+@register("snapshot_view", using(_SNAPSHOT, "order_table", "lines"))
 def snapshot_view(spark, d):
     return table_from_events(lifecycle_log(spark, d)).select("order_id", snapshot_json().alias("snapshot"))
+
+
+@register("get_order", using(f"SELECT * FROM ({_SNAPSHOT}) WHERE order_id = 'ord-000000000012'", "order_table", "lines"))
+def get_one_order(spark, d):
+    """One order with all its fields, read from the log."""
+    return get_order(lifecycle_log(spark, d), "ord-000000000012").select("order_id", snapshot_json().alias("snapshot"))
+
+
+@register(
+    "guarded_state",
+    using(
+        """SELECT order_id, state, last_sequence, at1 + (CAST(k % 3 AS BIGINT) << 48) AS created_at FROM guard_state""",
+        "guard_state",
+    ),
+)
+def guarded_state(spark, d):
+    """Guarded state of every order by composed maps, without its payload."""
+    return fold(owner_rows(lifecycle_log(spark, d)), event_fold(), "order_id", ["offset"]).where("state is not null")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventfold.lifecycle import ORDER_LIFECYCLE
 from eventfold.operators import commands as O
+from eventfold.operators.guarded import guard_any
 from eventfold.registry import register
 from eventfold.registry.sql import cte, using
 from eventfold.sources.order_log import order_id_of
@@ -242,9 +244,13 @@ def orders_after(spark, d):
     return O.orders_after(results(spark, d))
 
 
-@register("get_order", guarded(f"SELECT * FROM ({_ORDERS}) WHERE order_id = 'ord-000000000012'"))
-def get_order(spark, d):
-    return O.get_order(O.orders_after(results(spark, d)), "ord-000000000012")
+@register(
+    "guard_composed",
+    guarded("SELECT cmd_id, kind, order_id, event_type, status, sequence, state_before, state_after FROM res"),
+)
+def guard_composed(spark, d):
+    """The guard for any lifecycle, by composed maps, with orders of more than eight commands as hot."""
+    return guard_any(commands(spark, d), ORDER_LIFECYCLE, block_rows=8)
 
 
 @register(
