@@ -20,7 +20,7 @@ from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
 from eventfold.plans.hot import BLOCK_ROWS, split
-from eventfold.plans.scan import running
+from eventfold.plans.scan import numbered, running
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
 from eventfold.session import written
 
@@ -366,11 +366,12 @@ def decode_fold(value: Column, lifecycle: Lifecycle = ORDER_LIFECYCLE) -> Column
     )
 
 
-def changelog(hist: DataFrame) -> DataFrame:
+def changelog(hist: DataFrame, order: Sequence[str] = ("offset",)) -> DataFrame:
     """Every change of a fold as a changelog record; a delete has no value even if nothing existed.
 
     Changelog offsets are the source offsets: increasing within a group and partition,
-    with holes where nothing was written.
+    with holes where nothing was written. For a log of several topics see ``merged_changelog``,
+    which takes the columns of its ``order`` along.
     """
     changed = hist.where(F.col("is_tombstone") | F.col("handler_ok"))
     value = F.when(
@@ -379,12 +380,27 @@ def changelog(hist: DataFrame) -> DataFrame:
     )
     return changed.select(
         F.concat(F.lit("order-fold."), F.col("group_id")).alias("topic"),
-        "group_id", "partition", "offset", "timestamp",
+        "group_id", "partition", *order, "timestamp",
         F.encode("order_id", "UTF-8").alias("key"),
         F.encode(value, "UTF-8").alias("value"),
     )
 
 
+def merged_changelog(hist: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The changelog of a fold over several topics, with positions of its own.
+
+    Source offsets of two topics overlap and say nothing about each other. Positions here are
+    dense in each changelog partition and follow the merged order. The records are
+    range-partitioned along it; counts per range and a position inside each range add up, so
+    no window spans a partition. Both reads see the same written cut.
+    """
+    records = written(changelog(hist, MERGED), "changelog-records")
+    parts = records.count() // block_rows + 1
+    cut = records.repartitionByRange(parts, "topic", "partition", *MERGED).withColumn("_range", F.spark_partition_id())
+    placed = numbered(written(cut, "changelog-ranges"), ["topic", "partition"], ["_range"], MERGED, "position")
+    return placed.select("topic", "group_id", "partition", F.col("position").alias("offset"), "timestamp", "key", "value")
+
+
 def lookup(folds: DataFrame, group_id: str, order_id: str) -> DataFrame:
     """One stored fold; no row when the order has never been seen."""
     return folds.where((F.col("group_id") == group_id) & (F.col("order_id") == order_id))

@@ -10,11 +10,13 @@ from eventfold.operators import fold as FO
 from eventfold.operators.guarded import event_fold
 from eventfold.operators.tables import get_order, owner_rows, snapshot_json, table_from_events
 from eventfold.plans.compose import fold
+from eventfold.plans.hot import BLOCK_ROWS
 from eventfold.registry import register
-from eventfold.registry.folding import hist
+from eventfold.registry.folding import hist, two_topics
 from eventfold.registry.sql import cte, using
+from eventfold.schemas import LIFECYCLE_TOPIC, SNAPSHOT_TOPIC
 from eventfold.session import work_dir, written
-from eventfold.sources.order_log import activity_log, lifecycle_log
+from eventfold.sources.order_log import activity_log, fixture_handler, lifecycle_log
 
 CHECKPOINT = 30000
 
@@ -61,15 +63,50 @@ def changelog_rows(spark, d):
     return shown(changelog(spark, d))
 
 
+def merged_changelog(spark, d, block_rows=BLOCK_ROWS):
+    """The changelog of the log whose deletes arrive on a topic of their own."""
+    rows = FO.deliveries(two_topics(spark, d), handler=fixture_handler, merge_topics=(LIFECYCLE_TOPIC, SNAPSHOT_TOPIC))
+    return FO.merged_changelog(FO.history(rows, order=FO.MERGED), block_rows)
+
+
+#: Times grow with offsets in this log, so the merged order is the order of the single topic.
+cte(
+    "mlog",
+    "SELECT topic, p, row_number() OVER (PARTITION BY topic, p ORDER BY off) - 1 AS off, order_id, stored FROM clog",
+    "clog",
+)
+
+
+@register("changelog_two_topics", using(f"SELECT {_CLOG} FROM mlog", "mlog"))
+def changelog_two_topics(spark, d):
+    return shown(merged_changelog(spark, d, block_rows=5000))
+
+
+@register(
+    "restore_two_topics",
+    using(
+        f"SELECT {_CLOG} FROM mlog QUALIFY row_number() OVER (PARTITION BY topic, p, order_id ORDER BY off DESC) = 1 AND stored IS NOT NULL",
+        "mlog",
+    ),
+)
+def restore_two_topics(spark, d):
+    """State restored from the two-topic changelog: the folds that are live."""
+    return shown(C.restore_full(written(merged_changelog(spark, d), "changelog"))[0])
+
+
 @register(
     "sink_changelog",
-    using('SELECT topic, p AS "partition", count(*) AS n, count(stored) AS live FROM clog GROUP BY 1, 2', "clog"),
+    using(
+        'SELECT topic, p AS "partition", count(*) AS n, count(stored) AS live, min(off) AS first, max(off) AS last FROM mlog GROUP BY 1, 2',
+        "mlog",
+    ),
 )
 def sink_changelog(spark, d):
+    """The two-topic changelog, written by group and read back."""
     path = work_dir(spark, "changelog")
-    changelog(spark, d).write.partitionBy("group_id").parquet(path)
+    merged_changelog(spark, d).write.partitionBy("group_id").parquet(path)
     return spark.read.parquet(path).groupBy("topic", "partition").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("live")
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("live"), F.min("offset").alias("first"), F.max("offset").alias("last")
     )
 
 
