@@ -37,11 +37,14 @@ def plain(texts, own):
         if b"".join(t for _, t in ta) != whole or b"".join(t for _, t in tb) != whole:
             ta, tb = [], []
         end_a, end_b = (np.cumsum([len(t) for _, t in x]).tolist() for x in (ta, tb))
+        at_a, at_b = ({e: i for i, e in enumerate(ends)} for ends in (end_a, end_b))
         cuts = sorted(set(end_a) & set(end_b))
-        links = [(ta[end_a.index(c)][0], tb[end_b.index(c)][0]) for c in cuts]
-        groups = []
-        for low, high in zip([0, *cuts], cuts):
-            groups.append("|".join(",".join(str(i) for (i, _), e in zip(x, ends) if low < e <= high) for x, ends in ((ta, end_a), (tb, end_b))))
+        links = [(ta[at_a[c]][0], tb[at_b[c]][0]) for c in cuts]
+        groups, low_a, low_b = [], 0, 0
+        for c in cuts:
+            high_a, high_b = at_a[c] + 1, at_b[c] + 1
+            groups.append("|".join(",".join(str(i) for i, _ in x) for x in (ta[low_a:high_a], tb[low_b:high_b])))
+            low_a, low_b = high_a, high_b
         docs.append((len(ta), len(tb), links, groups))
     count = Counter(p for d in docs for p in d[2])
     best = {}
