@@ -204,7 +204,8 @@ def to_source(spark, d):
 @register(
     "retry_waiting",
     using(
-        """SELECT p AS "partition", pos AS "offset", order_id AS key_text FROM lane WHERE NOT EXISTS (SELECT 1 FROM due WHERE due.p = lane.p AND due.pos = lane.pos)""",
+        """SELECT p AS "partition", pos AS "offset", order_id AS key_text FROM lane
+        WHERE (p, pos) NOT IN (SELECT (p, pos) FROM due)""",
         "lane",
         "due",
     ),

@@ -9,14 +9,15 @@ from eventfold.operators.services import DEFAULT_SERVICES
 from eventfold.operators.services import analytics_counts as count_types
 from eventfold.registry import register
 from eventfold.registry.commands import commands, guarded
-from eventfold.registry.failing import APPENDED, logs, now, retry_lane
+from eventfold.registry.failing import APPENDED, NOW_MS, logs, retry_lane
 from eventfold.registry.serving import handled_rows
-from eventfold.registry.sql import using
+from eventfold.registry.sql import cte, using
 from eventfold.schemas import DLQ_TOPIC, LIFECYCLE_TOPIC, RETRY_TOPIC
 from eventfold.session import configure, work_dir
 from eventfold.sources.logs import stream_log
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 from eventfold.streaming import jobs as J
+from eventfold.streaming.sequence import Sequencer
 
 SPLIT = 30000
 FILES = 8
@@ -83,9 +84,13 @@ def sink_failures(spark, d):
     ).groupBy("topic", "service", "error_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Appended positions are dense in each target partition, in the order of the source records.
+_APPENDED = "row_number() OVER (PARTITION BY p ORDER BY off, ord) - 1"
+
+
 @register(
     "sink_retry",
-    using('SELECT p AS "partition", pos AS "offset", CAST(next_attempt AS VARCHAR) AS attempt FROM lane', "lane"),
+    using(f'SELECT p AS "partition", {_APPENDED} AS "offset", CAST(next_attempt AS VARCHAR) AS attempt FROM lane', "lane"),
 )
 def sink_retry(spark, d):
     return failure_logs(spark, d).where(F.col("topic") == RETRY_TOPIC).select(
@@ -95,7 +100,7 @@ def sink_retry(spark, d):
 
 @register(
     "sink_dlq",
-    using('SELECT p AS "partition", pos AS "offset", CAST(att AS VARCHAR) AS attempts_made FROM dlq', "dlq"),
+    using(f'SELECT p AS "partition", {_APPENDED} AS "offset", CAST(att AS VARCHAR) AS attempts_made FROM dlq', "dlq"),
 )
 def sink_dlq(spark, d):
     return failure_logs(spark, d).where(F.col("topic") == DLQ_TOPIC).select(
@@ -103,27 +108,46 @@ def sink_dlq(spark, d):
     )
 
 
-@register(
-    "sink_source",
-    using(
-        f"""SELECT 'order-lifecycle' AS topic, p AS "partition", {APPENDED} AS "offset", service AS retry_target,
-        CAST(next_attempt AS VARCHAR) AS attempt FROM due LEFT JOIN ends ON p = ep""",
-        "due",
-        "ends",
-    ),
-)
-def sink_source(spark, d):
-    """The retry topic as a stream; what is due goes back to its source log."""
+def released(spark, d, **how):
+    """The retry topic as a stream, judged at the fixture's moment; what is due goes to the end of its log."""
     configure(spark)
     lane, out, ckpt = (work_dir(spark, n) for n in ("lane", "released", "ckpt"))
     retry_lane(spark, d).write.parquet(lane)
-    J.run_batches(stream_log(spark, lane), J.release_sink(out, lambda: logs(spark, d), now), ckpt)
+    ends = Sequencer(f"{out}-ends", lambda: logs(spark, d))
+    J.run_available(J.release_stream(stream_log(spark, lane), at_ms=NOW_MS, **how), J.release_sink(out, ends), ckpt)
+    return spark.read.parquet(out)
+
+
+_RELEASED = f"""SELECT 'order-lifecycle' AS topic, p AS "partition", {APPENDED} AS "offset", service AS retry_target,
+    CAST(next_attempt AS VARCHAR) AS attempt FROM due LEFT JOIN ends ON p = ep"""
+
+
+def back(records):
     h = F.col("headers")
-    return spark.read.parquet(out).where(F.col("topic") == LIFECYCLE_TOPIC).select(
+    return records.where(F.col("topic") == LIFECYCLE_TOPIC).select(
         "topic", "partition", "offset", H.header(h, H.RETRY_TARGET).alias("retry_target"), H.header(h, H.ATTEMPT).alias("attempt")
     )
 
 
+@register("sink_source", using(_RELEASED, "due", "ends"))
+def sink_source(spark, d):
+    return back(released(spark, d))
+
+
+cte(
+    "due_tiered",
+    f"""SELECT * FROM (SELECT *, max(greatest(due_ms, failed_ms)) OVER (PARTITION BY p, next_attempt ORDER BY pos) AS release_ms FROM lane)
+    WHERE release_ms <= {NOW_MS}""",
+    "lane",
+)
+
+
+@register("release_tiered_stream", using(_RELEASED.replace("FROM due ", "FROM due_tiered "), "due_tiered", "ends"))
+def release_tiered_stream(spark, d):
+    """The same with a lane for each attempt."""
+    return back(released(spark, d, tiered=True))
+
+
 @register(
     "analytics_stream",
     using(

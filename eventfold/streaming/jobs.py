@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions import text as X
@@ -16,14 +16,15 @@ from eventfold.operators.failures import (
     route_failures,
     to_failure_logs,
 )
-from eventfold.operators.retry import as_log, release_due, with_retry_fields
+from eventfold.operators.retry import as_log, give_up, judge_due, release, with_retry_fields
 from eventfold.operators.routing import branch, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler
-from eventfold.plans.hot import int_div
-from eventfold.schemas import LOG_COLUMNS, LOG_SCHEMA, SNAPSHOT_TOPIC
+from eventfold.plans.hot import BLOCK_ROWS, int_div
+from eventfold.schemas import LOG_COLUMNS, SNAPSHOT_TOPIC
 from eventfold.session import written
 from eventfold.sources.sinks import write_batch
 from eventfold.streaming import processors as P
+from eventfold.streaming.sequence import Sequencer
 
 
 def seen_by(rows: DataFrame, services: Sequence[ServiceSpec], handler: Handler | None) -> DataFrame:
@@ -77,16 +78,19 @@ def guard_stream(commands: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE) ->
     )
 
 
-def release_stream(lane: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
-    """Waiting records released as each becomes due, on processing-time timers."""
+def release_stream(lane: DataFrame, tiered: bool = False, at_ms: int | None = None) -> DataFrame:
+    """Waiting records as they leave the lane, on processing-time timers; whole lane rows, headers included.
+
+    A record leaves when it is due and everything before it in its partition has left;
+    ``tiered`` lets each attempt wait in a lane of its own. A lane without new records is
+    drained all the same, as long as the query runs. ``at_ms`` releases what is due at that
+    moment and keeps the rest, whatever the machine's clock says.
+    """
     rows = with_retry_fields(lane).select(
-        "topic", "partition", "offset", "key", "value",
-        F.coalesce(F.unix_millis("due_at"), F.lit(0)).alias("due_ms"),
-        int_div(F.col("offset"), block_rows).alias("block"),
-    )
-    return rows.groupBy("topic", "partition", "block").transformWithState(
-        P.ReleaseProcessor(), P.RELEASE_OUTPUT, "Append", "ProcessingTime"
+        *LOG_COLUMNS, F.coalesce(F.unix_millis("due_at"), F.unix_millis("timestamp")).alias("due_ms"), "attempt"
     )
+    keys = ["topic", "partition", "attempt"] if tiered else ["topic", "partition"]
+    return rows.groupBy(*keys).transformWithState(P.ReleaseProcessor(at_ms), P.RELEASE_OUTPUT, "Append", "ProcessingTime")
 
 
 def failure_sink(
@@ -94,12 +98,14 @@ def failure_sink(
     services: Sequence[ServiceSpec] = DEFAULT_SERVICES,
     handler: Handler | None = None,
     policy: RetryPolicy = RetryPolicy(),
+    sequencer: Sequencer | None = None,
 ):
-    """A ``foreachBatch`` function sending failed deliveries to the retry and dead-letter logs.
+    """A ``foreachBatch`` function appending failed deliveries to the retry and dead-letter logs.
 
     Both are written in one pass over the batch, into a folder that is rewritten if the batch
-    runs again, so neither log holds a record twice.
+    runs again, so neither log holds a record twice. Positions are the sequencer's.
     """
+    numbers = sequencer or Sequencer(f"{path}-ends")
     ordinal = F.lit(0)
     for i, s in enumerate(services):
         ordinal = F.when(F.col("service") == s.name, F.lit(i)).otherwise(ordinal)
@@ -107,37 +113,49 @@ def failure_sink(
     def write(batch: DataFrame, batch_id: int) -> None:
         moment = F.col("timestamp") + F.make_dt_interval(secs=F.lit(1))
         failed = route_failures(failed_deliveries(batch, services, handler), policy)
-        placed = failed.withColumn("position", F.col("offset") * len(services) + ordinal).withColumn("moment", moment)
-        records = to_failure_logs(placed, F.col("moment"), policy, ["position", "moment"])
-        write_batch(as_log(records, F.col("position"), F.col("moment")), path, batch_id)
+        kept = failed.withColumn("ordinal", ordinal).withColumn("moment", moment).withColumn("source_offset", F.col("offset")).withColumn("source", F.col("topic"))
+        records = written(to_failure_logs(kept, F.col("moment"), policy, ["source", "source_offset", "ordinal", "moment"]), "failures")
+        cut = records.withColumn("_cell", int_div(F.col("source_offset"), BLOCK_ROWS))
+        placed = numbers.place(cut, ["_cell"], ["source_offset", "source", "ordinal"], batch_id)
+        write_batch(as_log(placed, F.col("offset"), F.col("moment")), path, batch_id)
 
     return write
 
 
-def release_sink(path: str, log: Callable[[], DataFrame], now: Callable[[], Column], services: Sequence[ServiceSpec] = DEFAULT_SERVICES):
-    """A ``foreachBatch`` function putting due records at the end of the log they came from.
+def release_sink(path: str, sequencer: Sequencer, services: Sequence[ServiceSpec] = DEFAULT_SERVICES):
+    """A ``foreachBatch`` function for ``release_stream``: released records go to the end of the log they came from.
 
     Records nothing can run go to the dead-letter log's end, in the same repeatable write.
-    Records that are not due wait in ``<path>-waiting``: each batch judges those of the
-    batch before again. ``log`` reads the logs
-    as they stand; what earlier batches appended below ``path`` counts as part of them.
+    The sequencer knows the ends, so no log is read. Without records nothing is written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, moment = batch.sparkSession, now()
-        waited = f"{path}-waiting/batch={batch_id - 1}"
-        lane, ends = batch.select(*LOG_COLUMNS), log().select("topic", "partition", "offset")
-        if batch_id:
-            lane = lane.unionByName(spark.read.schema(LOG_SCHEMA).parquet(waited))
-            earlier = spark.read.schema(f"{LOG_SCHEMA}, batch bigint").parquet(path).where(F.col("batch") < batch_id)
-            ends = ends.unionByName(earlier.select("topic", "partition", "offset"))
-        due, waiting = release_due(written(lane, "lane"), ends, moment, services)
-        waiting.write.mode("overwrite").parquet(f"{path}-waiting/batch={batch_id}")
-        write_batch(due, path, batch_id)
+        # Timers depend on the clock, so the batch is worked out once and read from its folder.
+        write_batch(batch, f"{path}-released", batch_id)
+        lane = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}-released/batch={batch_id}")
+        if lane.isEmpty():
+            return
+        moment = F.timestamp_millis("released_ms")
+        marked = with_retry_fields(lane).withColumn("lane_partition", F.col("partition")).withColumn("lane_offset", F.col("offset")).withColumn("moment", moment)
+        judged = judge_due(marked, services)
+        keep = ["lane_partition", "lane_offset", "moment"]
+        records = written(release(judged, keep).unionByName(give_up(judged, F.col("moment"), keep)), "released-records")
+        cut = records.withColumn("_cell", int_div(F.col("lane_offset"), BLOCK_ROWS))
+        placed = sequencer.place(cut, ["lane_partition", "_cell"], ["lane_offset"], batch_id)
+        write_batch(as_log(placed, F.col("offset"), F.col("moment")), path, batch_id)
 
     return write
 
 
+def run_available(stream: DataFrame, write, checkpoint: str) -> None:
+    """Process what is there now through a ``foreachBatch`` function, for streams whose timers never end, then stop."""
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available into a Parquet table, then stop."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(

@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
+from eventfold.schemas import LOG_SCHEMA
 
 FOLD_OUTPUT = (
     "group_id string, order_id string, partition int, offset bigint, is_tombstone boolean, sequence bigint, "
@@ -143,42 +144,51 @@ class GuardProcessor(StatefulProcessor):
         pass
 
 
-RELEASE_OUTPUT = "topic string, partition int, offset bigint, key binary, value binary, due_ms bigint, released_ms bigint"
+RELEASE_OUTPUT = f"{LOG_SCHEMA}, due_ms bigint, released_ms bigint"
+_LANE_FIELDS = ("topic", "partition", "offset", "timestamp", "key", "value", "headers")
 
 
 class ReleaseProcessor(StatefulProcessor):
-    """Holds each waiting record until it is due; one timer per due time, so nothing waits behind another.
+    """A lane of waiting records: first in, first out, each held until it is due.
 
-    Keyed by log partition and offset block, which spreads a long partition over many keys.
+    Keyed by the lane's partition, and by attempt where every attempt has a lane of its own.
+    Records wait in a queue, a map from number to record with its two ends as values, so a
+    release reads the head only. One timer stands at the head's due time; it fires without
+    new records. ``at_ms`` judges the
+    lane as of that moment instead, without timers.
     """
 
+    def __init__(self, at_ms: int | None = None):
+        self.at_ms = at_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", "offset bigint", "topic string, partition int, key binary, value binary, due_ms bigint"
-        )
-
-    def _release(self, offset, w, now):
-        return Row(
-            topic=w[0], partition=w[1], offset=offset, key=w[2], value=w[3], due_ms=w[4], released_ms=now
-        )
+        self.ends = handle.getValueState("ends", "head bigint, tail bigint")
+        self.queue = handle.getMapState("queue", "number bigint", f"{LOG_SCHEMA}, due_ms bigint")
+
+    def _drain(self, head: int, tail: int, now: int) -> Iterator[Row]:
+        while head < tail:
+            w = tuple(self.queue.getValue((head,)))
+            if w[-1] > now:
+                if self.at_ms is None:
+                    self.handle.registerTimer(w[-1])
+                break
+            self.queue.removeKey((head,))
+            head += 1
+            yield Row(**dict(zip(_LANE_FIELDS, w)), due_ms=w[-1], released_ms=now)
+        self.ends.update((head, tail))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        for r in rows:
-            w = (r.topic, r.partition, r.key, r.value, r.due_ms)
-            if r.due_ms <= now:
-                yield self._release(r.offset, w, now)
-            else:
-                self.waiting.updateValue((r.offset,), w)
-                self.handle.registerTimer(r.due_ms)
+        head, tail = tuple(self.ends.get()) if self.ends.exists() else (0, 0)
+        for r in sorted(rows, key=lambda r: r.offset):
+            headers = None if r.headers is None else [(h["key"], h["value"]) for h in r.headers]
+            self.queue.updateValue((tail,), (r.topic, r.partition, r.offset, r.timestamp, r.key, r.value, headers, r.due_ms))
+            tail += 1
+        yield from self._drain(head, tail, self.at_ms or timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        due = [(k[0], tuple(v)) for k, v in self.waiting.iterator() if v[4] <= now]
-        for offset, w in due:
-            self.waiting.removeKey((offset,))
-            yield self._release(offset, w, now)
+        if self.ends.exists():
+            yield from self._drain(*tuple(self.ends.get()), timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
         pass

@@ -1,7 +1,8 @@
 """Streams against the batch operators, across a restart, and timers."""
 
 import datetime as dt
-import os
+import glob
+import json
 import time
 
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from eventfold.operators.services import ServiceSpec
 from eventfold.sources.logs import stream_log
 from eventfold.sources.sinks import table_sink
 from eventfold.streaming import jobs as J
-from eventfold.streaming.processors import RELEASE_OUTPUT
+from eventfold.schemas import LOG_SCHEMA
+from eventfold.streaming.sequence import Sequencer
 from helpers import TYPES, log_of, record
 from test_fold import random_rows, to_log
 
@@ -52,25 +54,60 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "odd")).count() == 10
 
 
-def test_records_leave_when_due(spark, tmp_path):
-    now = dt.datetime.now(dt.timezone.utc)
+def lane_record(i, due, partition=0, attempt=2, service="inventory", value=None):
+    headers = [
+        (H.RETRY_AT, due.isoformat().encode()), (H.ATTEMPT, str(attempt).encode()), (H.SERVICE, service.encode()),
+        (H.ORIGINAL_TOPIC, b"order-lifecycle"), (H.ORIGINAL_PARTITION, str(partition).encode()), (H.ORIGINAL_OFFSET, str(i).encode()),
+    ]
+    body = value or json.dumps({"event_id": f"e{i}", "order_id": "o1", "sequence": 1, "event_type": "PACKED", "payload": {}}).encode()
+    return record(i, body, topic="order-lifecycle.retry", partition=partition, headers=headers)
+
 
-    def waiting(i, seconds):
-        due = (now + dt.timedelta(seconds=seconds)).isoformat().encode()
-        return record(i, b"v%d" % i, topic="order-lifecycle.retry", headers=[(H.RETRY_AT, due)])
-
-    path, out, ckpt = (str(tmp_path / n) for n in ("lane", "out", "ckpt"))
-    log_of(spark, [waiting(0, 6), waiting(1, -5), waiting(2, 8)]).coalesce(1).write.parquet(path)
-    query = (
-        J.release_stream(stream_log(spark, path)).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", ckpt).trigger(processingTime="1 second").start()
-    )
-    stop_at = time.time() + 60
-    seen = []
-    while time.time() < stop_at and len(seen) < 3:
+def released_while(spark, out, n, seconds=90):
+    stop_at, seen = time.time() + seconds, []
+    while time.time() < stop_at and len(seen) < n:
         time.sleep(1)
-        if os.path.isdir(f"{out}/_spark_metadata"):
-            seen = spark.read.schema(RELEASE_OUTPUT).parquet(out).collect()
+        if glob.glob(f"{out}/batch=*/_SUCCESS"):
+            seen = spark.read.schema(f"{LOG_SCHEMA}, batch int").parquet(out).collect()
+    return seen
+
+
+def test_waiting_records_leave_without_new_ones(spark, tmp_path):
+    """Due times lie ahead, nothing new arrives: timers release all, in the lane's order, at dense positions."""
+    now = dt.datetime.now(dt.timezone.utc)
+    at = lambda s: now + dt.timedelta(seconds=s)
+    rows = [lane_record(i, at(s)) for i, s in enumerate([-5, 12, 8, -5])] + [lane_record(i, at(s), partition=1) for i, s in enumerate([10, -5, 11])]
+    rows.append(lane_record(3, at(-5), partition=1, service="nobody"))
+    lane, out, ckpt = (str(tmp_path / n) for n in ("lane", "out", "ckpt"))
+    log_of(spark, rows).coalesce(1).write.parquet(lane)
+    reads = []
+
+    def log():
+        reads.append(1)
+        return log_of(spark, [record(i, b"x", partition=p) for p in (0, 1) for i in range(10 * (p + 1))])
+
+    write = J.release_sink(out, Sequencer(f"{out}-ends", log))
+    query = J.release_stream(stream_log(spark, lane)).writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(processingTime="1 second").start()
+    seen = released_while(spark, out, 8)
     query.stop()
-    assert sorted(r.offset for r in seen) == [0, 1, 2]
-    assert all(r.released_ms >= r.due_ms for r in seen)
+    assert len(reads) == 1
+    back = sorted((r.partition, r.offset, dict((h.key, bytes(h.value).decode()) for h in r.headers)[H.ORIGINAL_OFFSET]) for r in seen if r.topic == "order-lifecycle")
+    assert back == [(0, 10, "0"), (0, 11, "1"), (0, 12, "2"), (0, 13, "3"), (1, 20, "0"), (1, 21, "1"), (1, 22, "2")]
+    assert [(r.topic, r.partition, r.offset) for r in seen if r.topic != "order-lifecycle"] == [("order-lifecycle.dlq", 1, 0)]
+    by = {(r.partition, r.offset): r.batch for r in seen if r.topic == "order-lifecycle"}
+    assert by[(0, 10)] < by[(0, 11)] and by[(0, 11)] <= by[(0, 13)]  # one was due at once, the rest stood behind a later one
+
+
+def test_sequencer_repeats_and_interleaves(spark, tmp_path):
+    log = log_of(spark, [record(i, b"x") for i in range(5)])
+    rows = spark.createDataFrame([("order-lifecycle", 0, i, 0) for i in range(3)] + [("new", 2, 0, 0)], "topic string, partition int, n int, cell int")
+    for writer in (0, 1):
+        s = Sequencer(str(tmp_path / str(writer)), lambda: log, writer, 2)
+        place = lambda b, s=s: sorted((r.topic, r.n, r.offset) for r in s.place(rows, ["cell"], ["n"], b).collect())
+        first = place(0)
+        assert first == [("new", 0, writer), *[("order-lifecycle", i, 5 + writer + 2 * i) for i in range(3)]]
+        second = place(1)
+        assert second == [("new", 0, writer + 2), *[("order-lifecycle", i, 11 + writer + 2 * i) for i in range(3)]]
+        assert place(1) == second  # a repeated batch
+        again = Sequencer(str(tmp_path / str(writer)), None, writer, 2)  # a restarted job reads no log
+        assert sorted((r.topic, r.n, r.offset) for r in again.place(rows, ["cell"], ["n"], 2).collect())[1][2] == 17 + writer
