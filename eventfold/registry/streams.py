@@ -10,46 +10,67 @@ from eventfold.operators.services import analytics_counts as count_types
 from eventfold.registry import register
 from eventfold.registry.commands import commands, guarded
 from eventfold.registry.failing import APPENDED, NOW_MS, logs, retry_lane
+from eventfold.registry.folding import two_topics
 from eventfold.registry.serving import handled_rows
 from eventfold.registry.sql import cte, using
-from eventfold.schemas import DLQ_TOPIC, LIFECYCLE_TOPIC, RETRY_TOPIC
+from eventfold.schemas import DLQ_TOPIC, LIFECYCLE_TOPIC, RETRY_TOPIC, SNAPSHOT_TOPIC
 from eventfold.session import configure, work_dir
 from eventfold.sources.logs import stream_log
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 from eventfold.streaming import jobs as J
 from eventfold.streaming.sequence import Sequencer
 
-SPLIT = 30000
 FILES = 8
 
 
 def streamed(spark, d):
-    """The log as a stream of two file batches, earlier offsets first."""
+    """The log as a stream of two file batches, earlier offsets first, cut in the middle."""
     configure(spark)
     path = work_dir(spark, "log")
     log = lifecycle_log(spark, d)
-    for part in (log.where(F.col("offset") < SPLIT), log.where(F.col("offset") >= SPLIT)):
+    middle = (log.agg(F.max("offset")).first()[0] or 0) // 2
+    for part in (log.where(F.col("offset") < middle), log.where(F.col("offset") >= middle)):
         part.repartition(FILES, "key").write.mode("append").parquet(path)
     return stream_log(spark, path, FILES)
 
 
-@register(
-    "fold_stream",
-    using(
-        """SELECT group_id, order_id, p AS "partition", off AS "offset", s AS sequence, prev.s AS prev_sequence, redelivery, seq_gap, illegal,
-        cur.s AS last_sequence, cur.st AS state, cur.e AS last_event_id, handled AS handled_count FROM g_judged""",
-        "g_judged",
-    ),
+_FOLD_STREAM = using(
+    """SELECT group_id, order_id, p AS "partition", off AS "offset", s AS sequence, prev.s AS prev_sequence, redelivery, seq_gap, illegal,
+    cur.s AS last_sequence, cur.st AS state, cur.e AS last_event_id, handled AS handled_count FROM g_judged""",
+    "g_judged",
 )
-def fold_stream(spark, d):
+
+
+def folded(spark, stream, **how):
     out, ckpt = work_dir(spark, "folds"), work_dir(spark, "ckpt")
-    J.run_once(J.fold_stream(streamed(spark, d), handler=fixture_handler), out, ckpt)
+    J.run_once(J.fold_stream(stream, handler=fixture_handler, **how), out, ckpt)
     return spark.read.parquet(out).where("not is_tombstone").select(
         "group_id", "order_id", "partition", "offset", "sequence", "prev_sequence", "redelivery", "seq_gap", "illegal",
         "last_sequence", "state", "last_event_id", "handled_count",
     )
 
 
+@register("fold_stream", _FOLD_STREAM)
+def fold_stream(spark, d):
+    return folded(spark, streamed(spark, d))
+
+
+@register("fold_stream_two_topics", _FOLD_STREAM)
+def fold_stream_two_topics(spark, d):
+    """Deletes on a topic of their own, read before the events they follow; a later record moves the watermark past the end."""
+    configure(spark)
+    path, log = work_dir(spark, "log"), two_topics(spark, d)
+    deletes = F.col("topic") == SNAPSHOT_TOPIC
+    end = log.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit(LIFECYCLE_TOPIC).alias("topic"), F.lit(0).alias("partition"), F.lit(-1).cast("bigint").alias("offset"),
+        (F.col("timestamp") + F.expr("interval 2 days")).alias("timestamp"), F.lit(None).cast("binary").alias("key"),
+        F.encode(F.lit("{}"), "UTF-8").alias("value"), F.lit(None).cast(log.schema["headers"].dataType).alias("headers"),
+    )
+    for part in (log.where(deletes), log.where(~deletes), end):
+        part.repartition(FILES, "offset").write.mode("append").parquet(path)
+    return folded(spark, stream_log(spark, path, FILES), merge_topics=(LIFECYCLE_TOPIC, SNAPSHOT_TOPIC), delay="1 day")
+
+
 @register(
     "guard_stream",
     guarded("SELECT cmd_id, kind, order_id, event_type, status, sequence, state_before, state_after FROM res"),
@@ -114,7 +135,7 @@ def released(spark, d, **how):
     lane, out, ckpt = (work_dir(spark, n) for n in ("lane", "released", "ckpt"))
     retry_lane(spark, d).write.parquet(lane)
     ends = Sequencer(f"{out}-ends", lambda: logs(spark, d))
-    J.run_available(J.release_stream(stream_log(spark, lane), at_ms=NOW_MS, **how), J.release_sink(out, ends), ckpt)
+    J.run_batches(J.release_stream(stream_log(spark, lane), at_ms=NOW_MS, **how), J.release_sink(out, ends), ckpt)
     return spark.read.parquet(out)
 
 

@@ -56,18 +56,33 @@ def fold_stream(
     handler: Handler | None = None,
     guarded: bool = True,
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
+    merge_topics: Sequence[str] = (),
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """The fold as a stream: one output row per delivery and group, with the state it left."""
-    decoded = with_delivery(parse_event(log, with_payload=False, lifecycle=lifecycle))
+    """The fold as a stream: one output row per delivery and group, with the state it left.
+
+    With ``merge_topics`` the log holds several topics. Their rows are put in the merged order
+    (log append time, then the topics' order given, then offset) by a buffer behind a
+    watermark of ``delay``, which must cover how far the topics run apart: a row that comes
+    later than that is dropped. Rows leave the buffer once newer ones have moved the watermark.
+    """
+    source = log.withWatermark("timestamp", delay) if merge_topics else log
+    decoded = with_delivery(parse_event(source, with_payload=False, lifecycle=lifecycle))
     rows = seen_by(decoded, services, handler)
     keyed = rows.withColumn(
         "order_id", F.when(F.col("is_tombstone"), X.key_text(F.col("key"))).otherwise(F.col("order_id"))
     ).where(~F.col("is_poison") & (F.size("seen") > 0))
-    slim = keyed.select(
-        "order_id", "partition", "offset", "is_tombstone", "sequence", "event_type", "event_id", "seen"
+    columns = ["order_id", "partition", "offset", "is_tombstone", "sequence", "event_type", "event_id", "seen"]
+    if not merge_topics:
+        return keyed.select(*columns).groupBy("order_id").transformWithState(
+            P.FoldProcessor(guarded, lifecycle), P.FOLD_OUTPUT, "Append", "None"
+        )
+    rank = F.array_position(F.array(*[F.lit(t) for t in merge_topics]), F.col("topic")).cast("int")
+    placed = keyed.where(F.col("is_tombstone") | (F.col("topic") != SNAPSHOT_TOPIC)).select(
+        *columns, "timestamp", F.unix_micros("timestamp").alias("arrival"), rank.alias("topic_rank")
     )
-    return slim.groupBy("order_id").transformWithState(
-        P.FoldProcessor(guarded, lifecycle), P.FOLD_OUTPUT, "Append", "None"
+    return placed.groupBy("order_id").transformWithState(
+        P.MergedFoldProcessor(guarded, lifecycle), P.FOLD_OUTPUT, "Append", "EventTime"
     )
 
 
@@ -90,7 +105,9 @@ def release_stream(lane: DataFrame, tiered: bool = False, at_ms: int | None = No
         *LOG_COLUMNS, F.coalesce(F.unix_millis("due_at"), F.unix_millis("timestamp")).alias("due_ms"), "attempt"
     )
     keys = ["topic", "partition", "attempt"] if tiered else ["topic", "partition"]
-    return rows.groupBy(*keys).transformWithState(P.ReleaseProcessor(at_ms), P.RELEASE_OUTPUT, "Append", "ProcessingTime")
+    return rows.groupBy(*keys).transformWithState(
+        P.ReleaseProcessor(at_ms), P.RELEASE_OUTPUT, "Append", "ProcessingTime" if at_ms is None else "None"
+    )
 
 
 def failure_sink(
@@ -147,15 +164,6 @@ def release_sink(path: str, sequencer: Sequencer, services: Sequence[ServiceSpec
     return write
 
 
-def run_available(stream: DataFrame, write, checkpoint: str) -> None:
-    """Process what is there now through a ``foreachBatch`` function, for streams whose timers never end, then stop."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available into a Parquet table, then stop."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(

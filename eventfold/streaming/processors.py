@@ -86,6 +86,59 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+_WAITING = (
+    "arrival bigint, topic_rank int, partition int, offset bigint, is_tombstone boolean, sequence bigint, event_type string, "
+    "event_id string, groups array<string>, oks array<boolean>"
+)
+
+
+class MergedFoldProcessor(FoldProcessor):
+    """The fold over several topics: rows wait in keyed state until the watermark has passed them.
+
+    Rows of an order come from several topics in any order. They are drained by event-time
+    timers, sorted by (arrival, topic rank, offset), so a delete and an event meet in the
+    order of the log whichever is read first. An order holds at most its rows of the
+    watermark's delay.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        due = set()
+        for r in rows:
+            groups, oks = [x["group_id"] for x in r.seen], [bool(x["handler_ok"]) for x in r.seen]
+            self.waiting.appendValue((r.arrival, r.topic_rank, r.partition, r.offset, r.is_tombstone, r.sequence, r.event_type, r.event_id, groups, oks))
+            due.add(-(-r.arrival // 1000))
+        for moment in due:
+            self.handle.registerTimer(moment)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [Row(*_WAITING_FIELDS)(*tuple(r)) for r in self.waiting.get()]
+        now, later = [r for r in held if r.arrival <= passed], [r for r in held if r.arrival > passed]
+        if now:
+            stored = self.store.get() if self.store.exists() else None
+            folds = {g: _values(v, _FOLD_FIELDS) for g, v in (stored[0] or {}).items()} if stored else {}
+            for r in sorted(now, key=lambda r: (r.arrival, r.topic_rank, r.offset)):
+                for group, ok in zip(r.groups, r.oks):
+                    yield self._step(key[0], r, group, ok, folds)
+            if folds:
+                self.store.update((folds,))
+            elif stored:
+                self.store.clear()
+            if later:
+                self.waiting.put([tuple(r) for r in later])
+            else:
+                self.waiting.clear()
+
+
+_WAITING_FIELDS = [f.split()[0] for f in _WAITING.split(", ")]
+
+
 GUARD_OUTPUT = (
     "cmd_id bigint, kind string, order_id string, event_type string, status int, sequence bigint, "
     "state_before string, state_after string"
