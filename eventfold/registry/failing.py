@@ -9,11 +9,13 @@ from eventfold.functions import text as X
 from eventfold.operators import deadletters as DL
 from eventfold.operators import failures as O
 from eventfold.operators import retry as R
+from eventfold.operators.replaying import ReplayRun, published, sent
 from eventfold.registry import register
 from eventfold.registry.sql import cte, iso, using
-from eventfold.schemas import DLQ_TOPIC
-from eventfold.session import written
+from eventfold.schemas import DLQ_TOPIC, LOG_SCHEMA
+from eventfold.session import work_dir, written
 from eventfold.sources.order_log import START_MILLIS, fixture_handler, lifecycle_log, order_number
+from eventfold.streaming.sequence import Sequencer
 
 #: Log time at which the due gates are read: 100 seconds in.
 NOW_MS = START_MILLIS + 100_000
@@ -301,9 +303,19 @@ def render_dead_letter(spark, d):
     ),
 )
 def dlq_replay(spark, d):
-    return DL.replay(dead_letters(spark, d)).select(
-        "topic", "partition", "offset", X.key_text(F.col("key")).alias("key_text"),
-        F.col("headers").isNull().alias("bare"),
+    """A publishing run over a dead-letter table that grows meanwhile; read back through its ledger."""
+    dead, ledger, out = (work_dir(spark, n) for n in ("dead", "ledger", "replayed"))
+    dead_letters(spark, d).write.parquet(dead)
+    run = ReplayRun(0, lambda: spark.read.schema(LOG_SCHEMA).parquet(dead), ledger, 3)
+    run.bounds(keep=True)
+    late = run.dead_letters().withColumn("offset", F.col("offset") + 1_000_000_000)
+    written(late, "late").write.mode("append").parquet(dead)
+    ends = Sequencer(f"{out}-ends", lambda: lifecycle_log(spark, d))
+    for _ in range(2):  # the second finds the first committed
+        run.publish(out, ends)
+    back = published(spark, out, ledger).select("topic", "partition", "offset", "key", F.col("headers").isNull().alias("bare"))
+    return sent(spark, ledger, 0).join(back, ["topic", "partition", "offset"]).select(
+        "topic", F.col("dead_partition").alias("partition"), F.col("dead_offset").alias("offset"), X.key_text(F.col("key")).alias("key_text"), "bare"
     )
 
 
