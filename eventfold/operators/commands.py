@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.functions.validate import line_total
+from eventfold.functions.validate import command_payload_reasons, line_total
 from eventfold.lifecycle import ORDER_LIFECYCLE, PAYMENT_METHODS, Lifecycle
 from eventfold.plans.hot import BLOCK_ROWS, BROADCAST_KEYS, hot_keys
 from eventfold.plans.scan import running
@@ -96,6 +96,26 @@ def _marks_by_join(commands: DataFrame, lifecycle: Lifecycle, few: bool) -> Data
     return commands
 
 
+def check_advances(commands: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE) -> DataFrame:
+    """Check the payloads of advance commands before any sequence is reserved. Narrow.
+
+    Where the commands have ``payload``, JSON text, it decides ``payload_ok`` and
+    ``payload_reason`` of each advance; other kinds keep theirs. Text that is no JSON breaks
+    every rule of its type; a missing payload counts as an empty object.
+    """
+    if "payload" not in commands.columns:
+        return commands
+    parsed = F.coalesce(F.try_parse_json(F.coalesce("payload", F.lit("{}"))), F.parse_json(F.lit("null")))
+    broken = command_payload_reasons(F.col("event_type"), parsed, lifecycle)
+    advance = F.col("kind") == "advance"
+    text = F.when(F.size(broken) > 0, F.concat(F.array_join(broken, ", "), F.when(F.size(broken) > 1, " are empty").otherwise(" is empty")))
+    return (
+        commands.withColumn("payload_reason", F.when(advance, text).otherwise(F.col("payload_reason")))
+        .withColumn("payload_ok", F.when(advance, F.size(broken) == 0).otherwise(F.col("payload_ok")))
+        .drop("payload")
+    )
+
+
 def guard(
     commands: DataFrame,
     lifecycle: Lifecycle = ORDER_LIFECYCLE,
@@ -106,7 +126,8 @@ def guard(
     """Run every command against its order, in ``cmd_id`` order, and say what came of it.
 
     Input: ``cmd_id`` (unique), ``kind`` (create, advance, delete), ``order_id``,
-    ``event_type``, ``force``, ``publish_ok``, ``payload_ok``, ``payload_reason``. Adds
+    ``event_type``, ``force``, ``publish_ok``, the ``payload`` of advances, see
+    ``check_advances``, and ``payload_ok``, ``payload_reason`` as ``check_creates`` gives them. Adds
     ``status``, ``sequence``, ``state_before``, ``state_after`` and ``reason``. Rules apply
     in this order: unknown order 404, bad payload 422, illegal step 409 unless forced, then
     the next sequence is taken. A failed publish (502) keeps the sequence and not the state.
@@ -119,6 +140,7 @@ def guard(
         raise ValueError("the batch guard needs a lifecycle in a line; stream a branching one")
     steps = len(lifecycle.steps)
     pos = F.col("cmd_id")
+    commands = check_advances(commands, lifecycle)
 
     def judged(rows: DataFrame) -> DataFrame:
         alive = F.coalesce(pos > F.col("t1"), F.lit(False)) & F.coalesce(pos <= F.col("gone"), F.lit(True))

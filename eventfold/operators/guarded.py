@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
+from eventfold.operators.commands import check_advances
 from eventfold.plans.compose import FoldSpec, scan
 from eventfold.plans.hot import BLOCK_ROWS
 
@@ -126,7 +127,7 @@ def guard_any(commands: DataFrame, lifecycle: Lifecycle, *, find_hot: bool = Tru
     Rules as in ``commands.guard``: an existing order cannot be created again, unknown and
     deleted orders are 404, then the payload, then the step, then the publish.
     """
-    spec = command_fold(lifecycle)
+    commands, spec = check_advances(commands, lifecycle), command_fold(lifecycle)
     keep = ["cmd_id", "kind", "event_type", "payload_ok", "publish_ok", "force"]
     each = scan(commands, spec, "order_id", ["cmd_id"], keep=keep, find_hot=find_hot, block_rows=block_rows)
     before, after = spec.outputs(F.col("before")), spec.outputs(F.col("acc"))

@@ -87,12 +87,17 @@ def commands(spark, d):
         F.when(F.col("c.unknown"), F.concat(F.lit("ord-unknown-"), k.cast("string"))).otherwise(order_id_of(k)).alias("order_id"),
         "c.event_type",
         "c.force",
-        (~F.col("c.bad")).alias("payload_ok"),
-        F.when(F.col("c.bad"), F.lit("carrier is empty")).alias("payload_reason"),
+        F.lit(None).cast("boolean").alias("payload_ok"),
+        F.lit(None).cast("string").alias("payload_reason"),
+        # a shipment names its carrier, but for some; other steps take any object
+        F.when(
+            F.col("c.event_type") == "SHIPPED",
+            F.to_json(F.struct(F.when(F.col("c.bad"), "").otherwise("Pathao").alias("carrier"), F.concat(F.lit("PT-"), F.col("k")).alias("tracking_number"))),
+        ).otherwise(F.lit("{}")).alias("payload"),
     )
     first = creates(spark, d).select(
         "cmd_id", "k", "kind", "order_id", F.lit(None).cast("string").alias("event_type"), F.lit(False).alias("force"),
-        "payload_ok", "payload_reason",
+        "payload_ok", "payload_reason", F.lit(None).cast("string").alias("payload"),
     )
     both = first.unionByName(rest)
     publish_ok = (F.col("k") + F.col("cmd_id") % 16) % 53 != 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventfold.functions import text as X
 from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
+from eventfold.operators.commands import check_advances
 from eventfold.operators.decode import parse_event
 from eventfold.operators.failures import (
     RetryPolicy,
@@ -88,7 +89,7 @@ def fold_stream(
 
 def guard_stream(commands: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE) -> DataFrame:
     """The transition guard as a stream, for any lifecycle."""
-    return commands.groupBy("order_id").transformWithState(
+    return check_advances(commands, lifecycle).groupBy("order_id").transformWithState(
         P.GuardProcessor(lifecycle), P.GUARD_OUTPUT, "Append", "None"
     )
 
