@@ -8,6 +8,7 @@ from eventfold.functions import text as X
 from eventfold.operators import changelog as C
 from eventfold.operators import fold as FO
 from eventfold.operators.guarded import event_fold
+from eventfold.operators.statetable import StateTable
 from eventfold.operators.tables import get_order, owner_rows, snapshot_json, table_from_events
 from eventfold.plans.compose import fold
 from eventfold.plans.hot import BLOCK_ROWS
@@ -215,6 +216,20 @@ def restore_checkpoint_report(spark, d):
     return _checkpointed(spark, d)[1]
 
 
+@register(
+    "state_merge",
+    using(f"SELECT {_CLOG} FROM clog_state WHERE back = 1 AND stored IS NOT NULL", "clog_state"),
+)
+def state_merge(spark, d):
+    """A bucketed state table of the first half of two partitions, then the rest merged into it."""
+    log, table = changelog_table(spark, d), StateTable(spark, work_dir(spark, "state"))
+    middle = (log.agg(F.max("offset")).first()[0] or 0) // 2
+    table.create(log.where((F.col("offset") < middle) & (F.col("partition") < 2)))
+    marks = log.where(F.col("partition") < 2).select("topic", "partition").distinct()
+    table.merge(log, marks.withColumn("position", F.lit(middle).cast("bigint")))
+    return shown(table.live())
+
+
 @register(
     "rebuild_partitions",
     using(f"SELECT {_CLOG} FROM clog_state WHERE back = 1 AND stored IS NOT NULL", "clog_state"),

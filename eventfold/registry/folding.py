@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from eventfold.functions import text as X
 from eventfold.operators import fold as O
+from eventfold.operators.statetable import StateTable
 from eventfold.registry import register
 from eventfold.registry.sql import using
 from eventfold.schemas import LIFECYCLE_TOPIC, SNAPSHOT_TOPIC
+from eventfold.session import work_dir
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 
 FOLD_COLUMNS = "group_id, order_id, last_sequence, state, last_event_id, handled_count"
@@ -230,6 +232,13 @@ def fold_skip_failed(spark, d):
     ),
 )
 def fold_lookup(spark, d):
-    return O.lookup(folds(spark, d), "inventory-service", "ord-000000000005")
+    """One fold from kept state: the order's bucket is opened, nothing is folded for the lookup."""
+    table = StateTable(spark, work_dir(spark, "state"))
+    table.create(O.changelog(hist(spark, d)))
+    found = table.get("order-fold.inventory-service", b"ord-000000000005")
+    fold = O.decode_fold(F.col("value").cast("string"))
+    return found.select(F.lit("inventory-service").alias("group_id"), F.col("key").cast("string").alias("order_id"), fold.alias("f")).select(
+        "group_id", "order_id", "f.last_sequence", "f.state", "f.last_event_id", "f.handled_count"
+    )
 
 
