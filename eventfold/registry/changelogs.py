@@ -19,7 +19,8 @@ from eventfold.schemas import LIFECYCLE_TOPIC, SNAPSHOT_TOPIC
 from eventfold.session import work_dir, written
 from eventfold.sources.order_log import activity_log, fixture_handler, lifecycle_log
 
-CHECKPOINT = 30000
+#: Checkpoints stand in the middle of the changelog.
+_MIDDLE = "(SELECT max(off) // 2 FROM clog)"
 
 _STORED = """'{"last_sequence":' || cur.s || ',"state":"' || cur.st || '","last_event_id":"' || cur.e || '","handled_count":' || handled || '}'"""
 cte(
@@ -184,12 +185,17 @@ def restore_full_state(spark, d):
     return shown(C.restore_full(changelog_table(spark, d))[0])
 
 
+def _middle(log):
+    return (log.agg(F.max("offset")).first()[0] or 0) // 2
+
+
 def _checkpointed(spark, d):
     """State stored at one position of partitions 0 and 1; partition 2 has no checkpoint."""
     log = changelog_table(spark, d)
-    stored = C.current_table(log.where((F.col("offset") < CHECKPOINT) & (F.col("partition") < 2)))
+    middle = _middle(log)
+    stored = C.current_table(log.where((F.col("offset") < middle) & (F.col("partition") < 2)))
     marks = log.where(F.col("partition") < 2).select("topic", "partition").distinct().withColumn(
-        "position", F.lit(CHECKPOINT).cast("bigint")
+        "position", F.lit(middle).cast("bigint")
     )
     return C.restore_checkpoint(log, stored, marks)
 
@@ -207,7 +213,7 @@ def restore_checkpoint(spark, d):
     using(
         f"""SELECT topic, p AS "partition", count(*) FILTER (WHERE off >= start) AS records,
         count(*) FILTER (WHERE off >= start AND back = 1 AND stored IS NOT NULL) AS keys, any_value(start) AS from_offset, max(off) + 1 AS to_offset
-        FROM (SELECT *, CASE WHEN p < 2 THEN greatest({CHECKPOINT}, min(off) OVER (PARTITION BY topic, p))
+        FROM (SELECT *, CASE WHEN p < 2 THEN greatest({_MIDDLE}, min(off) OVER (PARTITION BY topic, p))
         ELSE min(off) OVER (PARTITION BY topic, p) END AS start FROM clog_state) GROUP BY 1, 2""",
         "clog_state",
     ),
@@ -223,7 +229,7 @@ def restore_checkpoint_report(spark, d):
 def state_merge(spark, d):
     """A bucketed state table of the first half of two partitions, then the rest merged into it."""
     log, table = changelog_table(spark, d), StateTable(spark, work_dir(spark, "state"))
-    middle = (log.agg(F.max("offset")).first()[0] or 0) // 2
+    middle = _middle(log)
     table.create(log.where((F.col("offset") < middle) & (F.col("partition") < 2)))
     marks = log.where(F.col("partition") < 2).select("topic", "partition").distinct()
     table.merge(log, marks.withColumn("position", F.lit(middle).cast("bigint")))

@@ -105,12 +105,15 @@ def message_count(spark, d):
 @register(
     "read_partition_from",
     using(
-        """SELECT p AS "partition", off AS "offset", order_id AS key_text FROM log WHERE p = 1 AND off >= 60000""",
+        """SELECT p AS "partition", off AS "offset", order_id AS key_text FROM log
+        WHERE p = 1 AND off >= (SELECT max(off) * 3 // 4 FROM log)""",
         "log",
     ),
 )
 def read_partition_from(spark, d):
-    rows = P.read_partition_from(lifecycle_log(spark, d), LIFECYCLE_TOPIC, 1, 60000)
+    log = lifecycle_log(spark, d)
+    start = (log.agg(F.max("offset")).first()[0] or 0) * 3 // 4
+    rows = P.read_partition_from(log, LIFECYCLE_TOPIC, 1, start)
     return rows.select("partition", "offset", X.key_text(F.col("key")).alias("key_text"))
 
 
