@@ -115,6 +115,8 @@ class _Files:
         self.sink = None
 
 
+#: Bytes of archives that a task reads back.
+READ_BYTES = 64 << 20
 _MANIFEST = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 MANIFEST = "name string, records bigint, bytes bigint, sha256 string"
 
@@ -187,7 +189,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHA
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     order = ["shard", "page_id", "kind", "url", F.xxhash64("html")]
-    sharded = rows.select(shard_of("page_id").alias("shard"), *rows.columns).repartition(len(cuts) + 1, "shard").sortWithinPartitions(*order)
+    sharded = rows.select(shard_of("page_id").alias("shard"), *rows.columns).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions(*order)
     sharded.mapInArrow(_writer(out, file_bytes, min_bytes), MANIFEST).write.parquet(f"{out}/_manifest")
     fs.delete_dir(f"{root}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{out}/_manifest")
@@ -257,9 +259,15 @@ def _reader(out: str, payloads: bool):
 
 
 def read(spark: SparkSession, out: str, payloads: bool = True) -> DataFrame:
-    """The records of all files in the manifest, checked against their digests."""
+    """The records of all files in the manifest, checked against their digests.
+
+    Files are dealt to tasks of about READ_BYTES, and to as many as there are cores where
+    there are files enough; the manifest's own size says nothing about the work.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{out}/_manifest")
-    return manifest.select("name").repartition("name").mapInArrow(_reader(out, payloads), READ)
+    files, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, min(files, max(spark.sparkContext.defaultParallelism, -(-(total or 0) // READ_BYTES))))
+    return manifest.select("name").repartitionByRange(tasks, "name").mapInArrow(_reader(out, payloads), READ)
 
 
 SQL = """

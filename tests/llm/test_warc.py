@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventfold.llm import warc
 
@@ -68,3 +69,13 @@ def test_damage_and_empty(spark, pages, tmp_path):
         warc.read(spark, out).collect()
     assert warc.write(pages(PAGES).where("false"), f"{tmp_path}/e").collect() == []
     assert warc.read(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "x" * 300 + str(i)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    out = str(tmp_path / "many")
+    files = warc.write(pages, out, file_bytes=2000).count()
+    assert files > 8
+    tasks = warc.read(spark, out).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 4
