@@ -32,8 +32,8 @@ from eventfold.llm.base import register, table, written
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, in tokens.
 OVERHEAD = 16
-#: Ranks are counted per length in this many parts first.
-PARTS = 64
+#: Ranks are counted per length in parts first: at least PARTS, and so many that a part of one length holds about PART_ROWS.
+PARTS, PART_ROWS = 64, 1 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -125,10 +125,12 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int, .
     """Rows (doc_id, piece, start, length, bin, capacity, offset), one per piece of each document row."""
     spark = docs.sparkSession
     tokens = token_count(F.col("text")) if tokens is None else tokens
-    cut = written(pieces(docs, tokens, max(capacities)).withColumn("sub", F.pmod(F.xxhash64("doc_id", "part", "piece"), F.lit(PARTS))), "packing-pieces")
+    whole = written(pieces(docs, tokens, max(capacities)), "packing-pieces")
+    counts = {int(r.length): int(r.n) for r in whole.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    plan = best_fit(counts, capacities, overhead)
+    spread = max(PARTS, -(-max(counts.values(), default=0) // PART_ROWS))
+    cut = whole.withColumn("sub", F.pmod(F.xxhash64("doc_id", "part", "piece"), F.lit(spread)))
     parts = cut.where("length > 0").groupBy("length", "sub").agg(F.count(F.lit(1)).alias("n"))
-    listed = parts.toPandas()  # at most the longest sequence times PARTS rows
-    plan = best_fit({int(k): int(v) for k, v in listed.groupby("length").n.sum().items()}, capacities, overhead)
     before = parts.select(
         "length", "sub", (F.sum("n").over(Window.partitionBy("length").orderBy("sub")) - F.col("n")).alias("before")
     )
