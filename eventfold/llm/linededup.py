@@ -369,12 +369,17 @@ def _verify_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush()
 
 
+def _tasks(docs: DataFrame) -> int:
+    """Tasks for work whose rows are few and small but costly: a given number is not merged by their size."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def line_links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between line hashes whose chains make the classes."""
     keyed = segment_rows(docs).repartition("key").sortWithinPartitions("key", "h")
     found = written(keyed.mapInArrow(over_buckets(1, PIECE, _pairs_or_clusters, _FOUND), "a bigint, b bigint, c bigint, grp bigint, piece bigint"), "line-candidates")
     pieces = found.where("piece >= 0").select("grp", "piece", F.col("a").alias("h"), F.col("b").alias("counts"), F.col("c").alias("indexed"))
-    across = deal(pieces).select("grp", "i", "j", "piece", "h", "counts", "indexed").repartition("grp", "i", "j")
+    across = deal(pieces).select("grp", "i", "j", "piece", "h", "counts", "indexed").repartition(_tasks(docs), "grp", "i", "j")
     more = across.sortWithinPartitions("grp", "i", "j", "h").mapInArrow(_across_pieces, "a bigint, b bigint, c bigint")
     all_ = written(found.where("piece < 0").select("a", "b", "c").union(more).distinct(), "line-pairs")
     pairs, members = all_.where("c = 0").select("a", "b"), all_.where("c = 1").select(F.col("a").alias("h"), F.col("b").alias("grp"))
@@ -384,7 +389,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     close_pairs = both.mapInArrow(_verify, "a bigint, b bigint")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     parted = members.join(sizes, "grp").select("grp", F.expr(f"pmod(xxhash64(h), (n + {TEXT_PIECE} - 1) div {TEXT_PIECE})").alias("piece"), "h")
-    dealt = deal(parted).join(lines, "h").select("grp", "i", "j", "piece", "h", "line").repartition("grp", "i", "j")
+    dealt = deal(parted).join(lines, "h").select("grp", "i", "j", "piece", "h", "line").repartition(_tasks(docs), "grp", "i", "j")
     cluster_pairs = dealt.sortWithinPartitions("grp", "i", "j", "h").mapInArrow(_verify_clusters, "a bigint, b bigint")
     return close_pairs.union(cluster_pairs)
 
@@ -406,18 +411,21 @@ def repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     ).distinct()
 
 
-def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
-    """The documents with repeated lines left out, and ``removed``: their numbers and first places."""
+def without_repeats(docs: DataFrame, short: bool = False, into: str = "removed") -> DataFrame:
+    """The documents with repeated lines left out, and ``into``: their numbers and first places.
+
+    A column of the documents that has the name ``into`` gives way to it.
+    """
     gone = repeats(docs, short).groupBy(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).agg(
-        F.array_sort(F.collect_list(F.struct("line", "first_doc", "first_line"))).alias("removed")
+        F.array_sort(F.collect_list(F.struct("line", "first_doc", "first_line"))).alias("_gone")
     )
-    keyed = docs.withColumn("_part", F.xxhash64("text"))
-    joined = keyed.join(gone, (F.col("_part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    lines = F.split("text", "\n", -1)
-    drop = F.transform("removed", lambda x: x["line"])
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(drop, i.cast("bigint")))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "removed")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_part"))
+    joined = keyed.join(gone, (F.col("_part") == F.col("_p")) & F.col("_id").eqNullSafe(F.col("_d")), "left")
+    drop = F.transform("_gone", lambda x: x["line"])
+    kept = F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains(drop, i.cast("bigint")))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    columns = [c for c in docs.columns if c != into]
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns], F.col("_gone").alias(into))
 
 
 SQL = f"""
