@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventfold.functions import text as X
 from eventfold.lifecycle import ORDER_LIFECYCLE
 from eventfold.operators import commands as O
+from eventfold.operators.decode import parse_event
 from eventfold.operators.guarded import guard_any
+from eventfold.operators.publishing import RECORD, creation_payloads, publish_results
 from eventfold.registry import register
 from eventfold.registry.sql import cte, using
+from eventfold.schemas import ITEMS_TYPE, LIFECYCLE_TOPIC, PAYMENT_TYPE, SNAPSHOT_TOPIC
+from eventfold.session import work_dir
 from eventfold.sources.order_log import order_id_of
+from eventfold.sources.outbox import Outbox
 
 
 def _orders(spark, d):
@@ -258,20 +264,55 @@ def guard_composed(spark, d):
     return guard_any(commands(spark, d), ORDER_LIFECYCLE, block_rows=8)
 
 
+def published(spark, d):
+    """One run of the guard, published twice under one batch id, as after a retry."""
+    box, asked = Outbox(spark, work_dir(spark, "outbox")), commands(spark, d)
+    made = creation_payloads(creates(spark, d), lines(spark, d))
+    for _ in range(2):
+        publish_results(box, 0, O.guard(asked), made, asked.where("kind = 'advance'").select("cmd_id", "payload"), 3)
+    return box
+
+
+@register(
+    "sink_events",
+    guarded(
+        """SELECT 'evt-' || res.cmd_id AS event_id, res.order_id, sequence, CASE kind WHEN 'create' THEN 'ORDER_CREATED' ELSE event_type END AS event_type,
+        CASE kind WHEN 'create' THEN 'cust-' || ck END AS customer_id, CASE kind WHEN 'create' THEN total END AS total_amount,
+        CASE kind WHEN 'create' THEN lines END AS items, CASE event_type WHEN 'SHIPPED' THEN 'PT-' || base.k END AS tracking_number
+        FROM res JOIN base ON base.k = res.cmd_id // 16 LEFT JOIN cline ON cline.k = base.k
+        LEFT JOIN (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem GROUP BY 1) n ON n.k = base.k WHERE status IN (200, 201)"""
+    ),
+)
+def sink_events(spark, d):
+    """Accepted events with their payload, decoded from what was published."""
+    log = published(spark, d).read(LIFECYCLE_TOPIC, RECORD).withColumn("offset", F.lit(0)).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    return parse_event(log).select(
+        "event_id", "order_id", "sequence", "event_type", "created.customer_id", "created.total_amount",
+        F.when(F.col("event_type") == "ORDER_CREATED", F.size("created.items")).cast("bigint").alias("items"), "shipped.tracking_number",
+    )
+
+
 @register(
     "sink_snapshot",
-    guarded(f"SELECT 'order-snapshot' AS topic, order_id, state, last_sequence FROM ({_ORDERS})"),
+    guarded(
+        f"""SELECT 'order-snapshot' AS topic, o.order_id, 'cust-' || ck AS customer_id, state, last_sequence, total AS total_amount, 'CARD' AS method,
+        'pay-' || base.k AS reference, total AS amount, lines AS items, expected_next_event
+        FROM ({_ORDERS}) o JOIN base ON o.order_id = 'ord-' || lpad(CAST(base.k AS VARCHAR), 12, '0') JOIN cline USING (k)
+        JOIN (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem GROUP BY 1) n USING (k)"""
+    ),
 )
 def sink_snapshot(spark, d):
-    """One snapshot per order written to a compacted log, then read back."""
-    from eventfold.session import work_dir
-
-    path = work_dir(spark, "snapshots")
-    O.orders_after(results(spark, d)).select(
-        F.lit("order-snapshot").alias("topic"),
-        F.encode("order_id", "UTF-8").alias("key"),
-        F.encode(F.to_json(F.struct("order_id", "state", "last_sequence")), "UTF-8").alias("value"),
-    ).write.parquet(path)
-    back = spark.read.parquet(path)
-    view = F.from_json(back["value"].cast("string"), "order_id string, state string, last_sequence bigint")
-    return back.select("topic", view.alias("v")).select("topic", "v.*")
+    """One whole snapshot per live order, read back from the compacted log."""
+    back = published(spark, d).read(SNAPSHOT_TOPIC, RECORD)
+    shape = f"order_id string, customer_id string, state string, last_sequence bigint, total_amount bigint, payment {PAYMENT_TYPE}, items {ITEMS_TYPE}, expected_next_event string"
+    return back.select("topic", F.from_json(F.col("value").cast("string"), shape).alias("v")).select(
+        "topic", "v.order_id", "v.customer_id", "v.state", "v.last_sequence", "v.total_amount", "v.payment.method", "v.payment.reference",
+        "v.payment.amount", F.size("v.items").cast("bigint").alias("items"), "v.expected_next_event",
+    )
+
+
+@register("sink_deletes", guarded("SELECT 'order-snapshot' AS topic, order_id AS key_text, true AS empty FROM res WHERE status = 204"))
+def sink_deletes(spark, d):
+    """The tombstones of the same batch."""
+    gone = published(spark, d).read(f"{SNAPSHOT_TOPIC}-deletes", RECORD)
+    return gone.select("topic", X.key_text(F.col("key")).alias("key_text"), F.col("value").isNull().alias("empty"))

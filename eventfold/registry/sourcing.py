@@ -186,10 +186,10 @@ def ids(spark, d):
 
 
 @register(
-    "sink_events",
+    "sink_events_generated",
     """SELECT 'ord-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key_text, CAST(1 AS BIGINT) AS n FROM orders""",
 )
-def sink_events(spark, d):
+def sink_events_generated(spark, d):
     """Written twice under one batch id, as after a retry; every record is there once."""
     path = work_dir(spark, "events")
     for _ in range(2):
