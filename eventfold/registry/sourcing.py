@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventfold.functions import text as X
-from eventfold.operators.decode import parse_event
 from eventfold.registry import register
 from eventfold.registry.sql import cte, using
 from eventfold.schemas import LIFECYCLE_TOPIC
