@@ -54,6 +54,7 @@ def corpus():
 @pytest.mark.parametrize("most", [256, 4])
 def test_groups_equal_brute_force(spark, docs, monkeypatch, most):
     monkeypatch.setattr(N, "ALL_PAIRS", most)
+    monkeypatch.setattr(N, "REST_PIECE", 3)
     texts = corpus()
     assert groups(N.near_groups(docs(list(enumerate(texts))))) == brute(texts)
 

@@ -51,3 +51,23 @@ def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark, docs):
     rows = [(None, a), (None, b), (1, b), (7, c), (7, d), (7, d), (8, d), (None, c.swapcase())]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect()]
     assert sorted(got, key=repr) == sorted([(None, a), (1, b), (7, c), (7, d)], key=repr)
+
+
+def test_stages_take_maps_and_columns_of_any_name(spark):
+    a, b = prose(60), prose(60)
+    odd = "doc_id bigint, text string, removed string, _k int, _p int, _q int, _d int, _row int, _part int, tags map<string,int>"
+    rows = [(i, t, "r", 1, 2, 3, 4, 5, 6, {"x": i}) for i, t in ((1, a), (2, b + "\n" + a), (7, b), (7, b))] + [(7, b, None, 0, 0, 0, 0, 0, 0, None)]
+    docs = spark.createDataFrame(rows, odd)
+    lines = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    assert lines.columns == docs.columns and {r.doc_id: r.text for r in lines.collect()}[2] == b
+    assert {r.removed for r in lines.collect()} == {"r", None}
+    left = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 7]
+
+
+def test_near_dedup_drops_word_edited_copies(spark, docs):
+    base = [prose(120).split() for _ in range(6)]
+    edited = lambda w, n: " ".join(x + "q" if i in range(5, 5 + 20 * n, 20) else x for i, x in enumerate(w))
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(10 + i, edited(w, 2)) for i, w in enumerate(base)] + [(20 + i, edited(w, 6)) for i, w in enumerate(base)]
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect())
+    assert kept == [*range(6), *range(20, 26)]  # two edits leave 0.84 of the shingles alike, six 0.59
