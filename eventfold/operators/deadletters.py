@@ -13,10 +13,14 @@ from eventfold.operators.failures import NON_RETRYABLE
 
 
 def inspect(dlq: DataFrame, service: str | None = None) -> DataFrame:
-    """Dead letters in scope, each with its header fields and a readable line."""
+    """Dead letters in scope, each with its header fields and a readable line.
+
+    Exploding a one-element array keeps filters on decoded headers above the decoding; pushed
+    below it, each would repeat the decoding many times over.
+    """
     m = F.col("headers_map")
     pick = lambda name: F.try_element_at(m, F.lit(name))
-    rows = dlq.withColumn("headers_map", H.decode_headers(F.col("headers"))).select(
+    rows = dlq.select("*", F.explode(F.array(H.decode_headers(F.col("headers")))).alias("headers_map")).select(
         "topic", "partition", "offset", "key", "value",
         pick(H.SERVICE).alias("service"),
         pick(H.CONSUMER_GROUP).alias("group_id"),

@@ -6,6 +6,7 @@ import pytest
 
 from eventfold.operators import changelog as C
 from eventfold.operators import commands as CM
+from eventfold.operators import deadletters as DL
 from eventfold.operators import fold as O
 from eventfold.operators.decode import parse_event
 from eventfold.registry import commands as RC
@@ -87,3 +88,8 @@ def test_guard_shuffles_commands_once(spark, tmp_path):
     assert shuffles(CM.guard(table, find_hot=False)) == 1
     text = plan(CM.guard(table, block_rows=8))
     assert "SinglePartition" not in text
+
+
+def test_header_filters_stay_above_the_decoding(log):
+    text = plan(DL.replay(log, service="analytics", include_poison=True))
+    assert len(re.findall(r"map_from_entries", text)) == 1
