@@ -3,13 +3,17 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from eventfold.operators import changelog as C
 from eventfold.operators import commands as CM
 from eventfold.operators import deadletters as DL
 from eventfold.operators import fold as O
 from eventfold.operators.decode import parse_event
+from eventfold.plans.hot import split
 from eventfold.registry import commands as RC
+from eventfold.session import written
 from eventfold.sources import offsets as P
 from eventfold.sources.logs import read_log
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
@@ -93,3 +97,14 @@ def test_guard_shuffles_commands_once(spark, tmp_path):
 def test_header_filters_stay_above_the_decoding(log):
     text = plan(DL.replay(log, service="analytics", include_poison=True))
     assert len(re.findall(r"map_from_entries", text)) == 1
+
+
+def test_short_blocks_share_a_partition(spark):
+    """Blocks of a few rows: each holds no more, along the order, without a file for each."""
+    rows = written(spark.range(20000).selectExpr("id % 100 AS k", "id AS at"), "rows")
+    _, hot = split(rows, "k", ["at"], 4)
+    assert len(hot.inputFiles()) <= 4
+    sizes = hot.groupBy("block").count().agg({"count": "max"}).first()[0]
+    ends = hot.groupBy("k", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    after = F.lead("low").over(Window.partitionBy("k").orderBy("block"))
+    assert sizes == 4 and hot.count() == 20000 and ends.withColumn("after", after).where("after <= high").isEmpty()
