@@ -10,7 +10,7 @@ from eventfold.operators.statetable import StateTable
 from eventfold.registry import register
 from eventfold.registry.sql import using
 from eventfold.schemas import LIFECYCLE_TOPIC, SNAPSHOT_TOPIC
-from eventfold.session import work_dir
+from eventfold.session import work_dir, written
 from eventfold.sources.order_log import fixture_handler, lifecycle_log
 
 FOLD_COLUMNS = "group_id, order_id, last_sequence, state, last_event_id, handled_count"
@@ -35,7 +35,7 @@ register("fold_last_write", using(f"SELECT {FOLD_COLUMNS} FROM w_fold", "w_fold"
 
 def two_topics(spark, d):
     """Deletes moved to the snapshot topic at offsets of their own, among snapshots to be skipped."""
-    log = lifecycle_log(spark, d)
+    log = written(lifecycle_log(spark, d), "log")
     gone = F.col("value").isNull()
     keep = log.where(~gone)
     moved = log.where(gone).withColumn("topic", F.lit(SNAPSHOT_TOPIC)).withColumn("offset", F.col("offset") * 2 + 1)

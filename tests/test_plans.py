@@ -94,6 +94,11 @@ def test_guard_shuffles_commands_once(spark, tmp_path):
     assert "SinglePartition" not in text
 
 
+def test_orders_are_dealt_before_their_records_are_built(spark):
+    """A table of one file comes as one task; its records are built and decoded by many."""
+    assert lifecycle_log(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_header_filters_stay_above_the_decoding(log):
     text = plan(DL.replay(log, service="analytics", include_poison=True))
     assert len(re.findall(r"map_from_entries", text)) == 1
