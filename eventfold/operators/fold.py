@@ -26,6 +26,8 @@ from eventfold.session import written
 
 GUARDED = "guarded"
 LAST_WRITE = "last_write"
+#: Rows that a task of the fold gets before the fan-out to the groups.
+TASK_ROWS = 1 << 18
 #: Order columns of a log read from several topics.
 MERGED = ("arrival", "topic_rank", "offset")
 
@@ -85,10 +87,12 @@ def deliveries(
     if merge_topics:
         slim = merged_order(slim, merge_topics, block_rows, log)
     slim = slim.where(~F.col("is_poison") & (F.col("is_tombstone") | (F.col("topic") != snapshot_topic)))
-    cold, hot = slim, None
+    cold, hot, tasks = slim, None, []
     if find_hot:
         along = MERGED if merge_topics else (*order, "topic", "partition")
-        cold, hot = split(written(slim, "deliveries"), "order_id", along, block_rows)
+        kept = written(slim, "deliveries")
+        cold, hot = split(kept, "order_id", along, block_rows)
+        tasks = [max(2 * log.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // TASK_ROWS))]
 
     def delivered(rows: DataFrame) -> DataFrame:
         routed = fan_out(rows, services).withColumn("route", branch(F.col("service"), snapshot_topic))
@@ -100,7 +104,7 @@ def deliveries(
         )
 
     return Deliveries(
-        delivered(cold.repartition("order_id")), None if hot is None else delivered(hot.repartition("order_id", "block"))
+        delivered(cold.repartition(*tasks, "order_id")), None if hot is None else delivered(hot.repartition("order_id", "block"))
     )
 
 

@@ -113,3 +113,8 @@ def test_short_blocks_share_a_partition(spark):
     ends = hot.groupBy("k", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     after = F.lead("low").over(Window.partitionBy("k").orderBy("block"))
     assert sizes == 4 and hot.count() == 20000 and ends.withColumn("after", after).where("after <= high").isEmpty()
+
+
+def test_fold_tasks_grow_with_the_rows(log, monkeypatch):
+    monkeypatch.setattr(O, "TASK_ROWS", 16)
+    assert re.search(r"hashpartitioning\(order_id#\d+, \d{3,}\)", plan(O.final_folds(O.history(O.deliveries(log)))))
