@@ -9,10 +9,11 @@ are abandoned, and pairs within it are verified by exact Jaccard of their shingl
 
 Equal texts are one row before any comparison. A bucket of more than ALL_PAIRS rows does
 not compare all of them: each of its pieces compares its rows with the LEADERS rows nearest
-the bitwise majority, and leaders of pieces with each other. Rows of such buckets that no
-verified link reaches are then held against every row of their buckets, so no row is given up:
-tasks get a piece of these rows and a piece of the bucket with their shingle sets, and emit
-verified links only.
+the bitwise majority, and leaders of pieces with each other. The links found join the rows of
+such a bucket to groups; rows outside its largest group are then held against every row of the
+bucket. A pair of different groups has one of these rows, and other links cannot change the
+groups, so none is lost: tasks get a piece of these rows and a piece of the bucket with their
+shingle sets, and emit verified links only.
 
 Words are runs without ASCII white space after lower-casing A-Z; a text of one to four
 words is one shingle. Texts without words, null texts too, are alike. Repeated rows and
@@ -267,11 +268,19 @@ def _piece_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets (key, part, fp) that ``links`` do not join to the largest group of their bucket."""
+    roots = components(links, "near-first-components")
+    joined = members.join(roots, F.col("part") == F.col("node"), "left").withColumn("group", F.coalesce("root", "part"))
+    sizes = joined.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+    return joined.join(largest, "key").where(F.col("group") != F.col("largest")).select("key", "part", "fp")
+
+
 def _rest_links(members: DataFrame, links: DataFrame, keyed: DataFrame, first: DataFrame) -> DataFrame:
-    """Verified links of the rows of long buckets (key, part, fp) that ``links`` does not reach, with all of their buckets."""
+    """Verified links of the rows of long buckets (key, part, fp) outside their bucket's largest group, with all of their buckets."""
     spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reached = links.select(F.explode(F.array("a", "b")).alias("part")).distinct()
-    alone = written(members.join(reached, "part", "left_anti").select("key", "part", "fp"), "near-alone")
+    alone = written(_apart(members, links), "near-alone")
     pieces = alone.groupBy("key").agg(F.expr(f"(count(1) + {REST_PIECE} - 1) div {REST_PIECE}").alias("ni"))
     whole = members.join(pieces, "key").groupBy("key", "ni").agg(F.expr(f"(count(1) + {REST_PIECE} - 1) div {REST_PIECE}").alias("nj"))
     sets = sets_of(members.join(pieces, "key", "left_semi").select("part"), keyed, first)

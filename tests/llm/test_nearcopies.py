@@ -89,3 +89,15 @@ def test_nulls_repeats_and_empty_table(spark, docs):
         roots.setdefault(r.root, []).append(r.doc_id)
     assert sorted(map(len, roots.values())) == [1, 2, 3]
     assert N.near_groups(docs([])).count() == 0
+
+
+def test_groups_of_a_long_bucket_meet(spark):
+    """Two groups joined to their leaders only, whose other members are near copies of each other."""
+    texts = {i: " ".join(prose(60)) for i in range(1, 41)}
+    texts[40] = texts[20] + " tail"
+    keyed = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "doc_id bigint, part bigint, text string")
+    prints = {i: N.simhash(N.shingles(t.encode())) for i, t in texts.items()}
+    members = spark.createDataFrame([(7, i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "key bigint, part bigint, fp bigint")
+    links = spark.createDataFrame([(1, i) for i in range(2, 21)] + [(21, i) for i in range(22, 41)], "a bigint, b bigint")
+    found = N._rest_links(members, links, keyed, keyed.selectExpr("part", "doc_id AS first"))
+    assert {tuple(sorted(r)) for r in found.collect()} == {(20, 40)}
