@@ -99,3 +99,25 @@ def test_both_parsers_agree(spark, compact):
     whys = ["", "customer_id", "items", "total_mismatch", "payment_mismatch", "payment", "item", "item", ""]
     assert [", ".join(got[i].reasons) for i in range(len(flaws))] == whys
     assert got[8].created.total_amount == 34500 and len(got[8].created["items"]) == 2
+
+
+def test_quick_rules_agree_with_reasons(spark):
+    """The check that lets a document take the typed parse says what the list of broken rules says."""
+    from pyspark.sql import functions as F
+
+    from eventfold.functions import validate as V
+    from eventfold.schemas import CREATED_TYPE, SHIPPED_TYPE
+
+    good = {"customer_id": "c", "items": [("PEN", 1, 5)], "total_amount": 5, "payment": ("CARD", "p", 5)}
+    changes = [
+        {}, {"customer_id": ""}, {"customer_id": None}, {"items": []}, {"items": None}, {"items": [("PEN", 0, 5)]}, {"items": [("", 1, 5)]},
+        {"items": [("PEN", 1 << 62, 5)]}, {"total_amount": 6}, {"total_amount": None}, {"payment": None}, {"payment": ("CASH", "p", 5)},
+        {"payment": ("CARD", "", 5)}, {"payment": ("CARD", "p", 6)}, {"payment": ("CARD", "p", None)}, {"items": [None]},
+    ]
+    rows = [(tuple({**good, **c}.values()),) for c in changes] + [(None,)]
+    c = F.col("v")
+    seen = spark.createDataFrame(rows, f"v {CREATED_TYPE}").select(V.created_ok(c).alias("ok"), (F.size(V.created_reasons(c)) == 0).alias("none")).collect()
+    assert [r.ok for r in seen] == [r.none for r in seen] == [True] + [False] * (len(rows) - 1)
+    rows = [((a, b),) for a in ("x", "", None) for b in ("x", "", None)]
+    seen = spark.createDataFrame(rows, f"v {SHIPPED_TYPE}").select(V.shipped_ok(c).alias("ok"), (F.size(V.shipped_reasons(c)) == 0).alias("none")).collect()
+    assert [r.ok for r in seen] == [r.none for r in seen] == [True] + [False] * 8

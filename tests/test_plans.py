@@ -118,3 +118,10 @@ def test_short_blocks_share_a_partition(spark):
 def test_fold_tasks_grow_with_the_rows(log, monkeypatch):
     monkeypatch.setattr(O, "TASK_ROWS", 16)
     assert re.search(r"hashpartitioning\(order_id#\d+, \d{3,}\)", plan(O.final_folds(O.history(O.deliveries(log)))))
+
+
+def test_fold_sorts_by_a_number_first(log):
+    """Order and group ids begin alike; as the first sort key they are compared whole each time."""
+    hist = O.history(O.deliveries(log, handler=fixture_handler, find_hot=False))
+    sorts = re.findall(r"Sort \[(\w+)#", plan(hist))
+    assert sorts and set(sorts) == {"_hash"}
