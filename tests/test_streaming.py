@@ -13,6 +13,7 @@ from eventfold.operators.services import ServiceSpec
 from eventfold.sources.logs import stream_log
 from eventfold.sources.sinks import table_sink
 from eventfold.streaming import jobs as J
+from eventfold.streaming import processors as P
 from eventfold.schemas import LOG_SCHEMA
 from eventfold.streaming.sequence import Sequencer
 from helpers import TYPES, log_of, record
@@ -111,3 +112,55 @@ def test_sequencer_repeats_and_interleaves(spark, tmp_path):
         assert place(1) == second  # a repeated batch
         again = Sequencer(str(tmp_path / str(writer)), None, writer, 2)  # a restarted job reads no log
         assert sorted((r.topic, r.n, r.offset) for r in again.place(rows, ["cell"], ["n"], 2).collect())[1][2] == 17 + writer
+
+
+class Stub:
+    """A state variable and handle in memory that counts the calls."""
+
+    def __init__(self):
+        self.value, self.items, self.timers, self.calls = None, [], [], []
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.items)) if self.items else self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = ({g: dict(zip(P._FOLD_FIELDS, v)) for g, v in value[0].items()},)
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.items += rows
+
+    def put(self, rows):
+        self.items = rows
+
+    def clear(self):
+        self.items = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_rows_of_an_order_are_one_append_and_one_timer():
+    """Every call is a trip to the JVM: they follow the orders of a batch and not its rows."""
+    from types import SimpleNamespace as N
+
+    p, waiting, store = P.MergedFoldProcessor(), Stub(), Stub()
+    p.handle, p.waiting, p.store = waiting, waiting, store
+    rows = [
+        N(arrival=1000 * i, topic_rank=1, partition=0, offset=i, is_tombstone=False, sequence=i, event_type=TYPES[i - 1], event_id=f"e{i}", seen=[{"group_id": "g", "handler_ok": True}])
+        for i in (3, 1, 2)
+    ]
+    assert list(p.handleInputRows(("o",), iter(rows), None)) == []
+    assert waiting.calls == ["append"] and waiting.timers == [1]
+    at = lambda ms: N(getCurrentWatermarkInMs=lambda: ms)
+    assert [r.offset for r in p.handleExpiredTimer(("o",), at(2), None)] == [1, 2]
+    assert waiting.timers == [1, 3] and len(waiting.items) == 1
+    assert [(r.offset, r.prev_sequence, r.handled_count) for r in p.handleExpiredTimer(("o",), at(3), None)] == [(3, 2, 3)]
+    assert not waiting.items and store.calls == ["get", "update", "get", "update"]
