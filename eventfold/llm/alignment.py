@@ -5,7 +5,9 @@ of A and a token of B end at the same byte, the text is cut: the tokens between
 are a group, and the two that end there are a link. No token of either is empty, so each
 group ends with exactly one link.
 
-Counts of pairs take two passes over the texts:
+Texts are encoded once, which is most of the work: their ids are written as whole numbers of
+two bytes (four for vocabularies beyond 65,536), and all that follows reads those. Counts of
+pairs take two passes over the ids:
 
 1. Tasks count the pairs of their texts. The distinct pairs get a minimal perfect hash: they
    are dealt to shards by a hash, and each shard is hashed in levels of bit arrays (a key
@@ -18,7 +20,7 @@ Counts of pairs take two passes over the texts:
 
 What a task holds is bounded: lookups go by blocks of shards with about BLOCK_KEYS pairs,
 collected and broadcast (13 bytes a pair and little more), and where the pairs need more
-blocks than one, the texts pass once for each block. The highest counts are one number per
+blocks than one, the ids pass once for each block. The highest counts are one number per
 id of B, bounded by its vocabulary.
 
 A is encoded with the merge ranks of its vocabulary by a faster library; long runs of white
@@ -137,35 +139,39 @@ class Aligned:
         return "".join(words[which[order]].tolist())[:-1]
 
 
-_NONE = Aligned(*[np.zeros(0, np.int64)] * 4)
+_NONE = np.zeros(0, np.int64)
 
 
-def align(texts: list[str | None], tok: Tokenizers) -> Iterator[Aligned]:
-    """The alignment of each text."""
+def encode(texts: list[str | None], tok: Tokenizers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of A and of B for each text."""
     for text, b in zip(texts, tok.b.encode([x or "" for x in texts], num_threads=1)):
         if not text:
-            yield _NONE
+            yield _NONE, _NONE
             continue
         whole = " " + text
-        a, raw = tok.encode_a(whole), whole.encode()
-        if b"".join(map(tok.b_bytes.__getitem__, b)) != raw:
-            yield _NONE
+        a, raw = np.array(tok.encode_a(whole), np.int64), whole.encode()
+        # merging bytes never changes them, so only their number can be wrong for A
+        if b"".join(map(tok.b_bytes.__getitem__, b)) != raw or tok.sizes[0][a].sum() != len(raw):
+            yield _NONE, _NONE
             continue
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        end_a, end_b = tok.sizes[0][a].cumsum(), tok.sizes[1][b].cumsum()
-        if end_a[-1] != len(raw):  # merging bytes never changes them, so only their number can be wrong
-            yield _NONE
-            continue
-        place = np.zeros(len(raw) + 1, np.int32)
-        place[end_b] = np.arange(1, len(b) + 1)
-        at = place[end_a]
-        cut_a = np.flatnonzero(at)
-        yield Aligned(a, b, cut_a, at[cut_a] - 1)
+        yield a, np.array(b, np.int64)
+
+
+def align(a: np.ndarray, b: np.ndarray, tok: Tokenizers) -> Aligned:
+    """The alignment of a text, from its ids."""
+    if not len(a):
+        return Aligned(a, b, _NONE, _NONE)
+    end_a, end_b = tok.sizes[0][a].cumsum(), tok.sizes[1][b].cumsum()
+    place = np.zeros(end_a[-1] + 1, np.int32)
+    place[end_b] = np.arange(1, len(b) + 1)
+    at = place[end_a]
+    cut_a = np.flatnonzero(at)
+    return Aligned(a, b, cut_a, at[cut_a] - 1)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about SLICE_BYTES of text (column ``text``); a longer text is one of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES of ``column``; a longer value is one of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > SLICE_BYTES:
@@ -175,8 +181,31 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index("text")).to_pylist()
+def _width(ids: int) -> str:
+    """How an id of a vocabulary of ``ids`` is stored."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def token_ids(texts: DataFrame, folder: str) -> DataFrame:
+    """Rows (key, a, b) of rows (key, text): the ids of both tokenizers as bytes; empty without tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizers(folder)
+        for part in (p for batch in batches for p in _slices(batch, "text")):
+            both = zip(*encode(part.column(1).to_pylist(), tok))
+            ids = [pa.array([x.astype(_width(len(of))).tobytes() for x in side], pa.binary()) for side, of in zip(both, (tok.a_bytes, tok.b_bytes))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(ids or [pa.array([], pa.binary())] * 2)], names=["key", "a", "b"])
+
+    return texts.select("key", "text").mapInArrow(run, T.StructType([texts.schema["key"], *[T.StructField(x, T.BinaryType()) for x in "ab"]]))
+
+
+def _aligned(batch: pa.RecordBatch, tok: Tokenizers) -> list[Aligned]:
+    """The alignment of each row of a batch with the columns ``a`` and ``b``."""
+    sides = [
+        [np.frombuffer(x, _width(len(of))).astype(np.int64) for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+        for name, of in (("a", tok.a_bytes), ("b", tok.b_bytes))
+    ]
+    return [align(a, b, tok) for a, b in zip(*sides)]
 
 
 # The hash -------------------------------------------------------------------------------
@@ -250,7 +279,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def pair_counts(texts: DataFrame, folder: str) -> DataFrame:
+def pair_counts(ids: DataFrame, folder: str) -> DataFrame:
     """Pass one: rows (key, n) of the pairs of each task; a key comes from many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +287,8 @@ def pair_counts(texts: DataFrame, folder: str) -> DataFrame:
         wide, keys, counts = len(tok.b_bytes), [], []
         out = lambda: pa.RecordBatch.from_arrays([pa.array(x[0]) for x in (keys, counts)], names=["key", "n"])
         for batch in batches:
-            for part in _slices(batch):
-                pairs = np.concatenate([x.pairs(wide) for x in align(_texts(part), tok)])
+            for part in _slices(batch, "a"):
+                pairs = np.concatenate([_NONE, *[x.pairs(wide) for x in _aligned(part, tok)]])
                 found, n = np.unique(pairs, return_counts=True)
                 merged = _merged([*keys, found], [*counts, n])
                 keys, counts = [merged[0]], [merged[1]]
@@ -269,7 +298,7 @@ def pair_counts(texts: DataFrame, folder: str) -> DataFrame:
         if keys:
             yield out()
 
-    return texts.mapInArrow(run, "key bigint, n bigint")
+    return ids.select("a", "b").mapInArrow(run, "key bigint, n bigint")
 
 
 def _hashed(keys: DataFrame, shards: int) -> DataFrame:
@@ -371,9 +400,9 @@ class PairIndex:
     best: np.ndarray
 
     @staticmethod
-    def of(texts: DataFrame, folder: str, wide: int) -> PairIndex:
-        spark = texts.sparkSession
-        counts = written(pair_counts(texts, folder), "pair-counts")
+    def of(ids: DataFrame, folder: str, wide: int) -> PairIndex:
+        spark = ids.sparkSession
+        counts = written(pair_counts(ids, folder), "pair-counts")
         keys = written(counts.select("key").distinct(), "pair-keys")
         shards = max(1, -(-keys.count() // SHARD_KEYS))
         hashed = written(_hashed(keys, shards), "pair-hash")
@@ -399,15 +428,16 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", folder:
     kind = docs.schema[key].dataType
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     wide = _ids_of_b(folder)
-    index = PairIndex.of(texts.select("text"), folder, wide)
+    ids = written(token_ids(texts, folder), "token-ids")
+    index = PairIndex.of(ids, folder, wide)
     blocks = [b for low, high in _blocks(index.shards) if (b := _shared(index.rows, low, high, index.shards, "counts")) is not None]
     top = texts.sparkSession.sparkContext.broadcast(index.best)
     made = T.StructType().add(key, kind).add("n_a", "long").add("n_b", "long").add("groups", "string").add("counts", T.ArrayType(T.LongType())).add("best", T.ArrayType(T.BooleanType()))
-    carried = T.StructType().add("key", kind).add("text", "string").add("counts", T.ArrayType(T.LongType()))
+    carried = T.StructType([*ids.schema.fields, T.StructField("counts", T.ArrayType(T.LongType()))])
 
     def counted(block, aligned: list[Aligned]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs and counts of a slice's links; zero for pairs of other blocks."""
-        pairs = np.concatenate([x.pairs(wide) for x in aligned])
+        pairs = np.concatenate([_NONE, *[x.pairs(wide) for x in aligned]])
         if block is None:
             return pairs, np.zeros(len(pairs), np.int64)
         lookup, counts = _opened(block)
@@ -424,10 +454,10 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", folder:
 
     def middle(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in (p for batch in batches for p in _slices(batch)):
-                aligned = list(align(_texts(part), tokenizers(folder)))
+            for part in (p for batch in batches for p in _slices(batch, "a")):
+                aligned = _aligned(part, tokenizers(folder))
                 counts = counted(block, aligned)[1] + earlier(part)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(counts, aligned, pa.int64())], names=["key", "text", "counts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists(counts, aligned, pa.int64())], names=carried.names)
 
         return run
 
@@ -435,8 +465,8 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", folder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tok = tokenizers(folder)
             na, nb = len(tok.a_bytes), len(tok.b_bytes)
-            for part in (p for batch in batches for p in _slices(batch)):
-                aligned = list(align(_texts(part), tok))
+            for part in (p for batch in batches for p in _slices(batch, "a")):
+                aligned = _aligned(part, tok)
                 pairs, counts = counted(block, aligned)
                 counts = counts + earlier(part)
                 groups = pa.array([x.groups(tok.words, na, nb) for x in aligned], pa.string())
@@ -447,8 +477,8 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", folder:
         return run
 
     for block in blocks[:-1]:
-        texts = written(texts.mapInArrow(middle(block), carried), "pair-pass")
-    return texts.mapInArrow(final(blocks[-1] if blocks else None), made)
+        ids = written(ids.mapInArrow(middle(block), carried), "pair-pass")
+    return ids.mapInArrow(final(blocks[-1] if blocks else None), made)
 
 
 _open: list = []

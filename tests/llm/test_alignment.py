@@ -128,3 +128,24 @@ def test_hash_is_minimal_perfect_and_verified():
     others = np.setdiff1d(np.arange(50_000), keys)
     assert (lookup.slots(others) == -1).all()
     assert (alignment.Lookup(rows[1:2], shards).slots(keys[of != 1]) == -1).all()
+
+
+def test_texts_are_encoded_once(spark, docs, monkeypatch):
+    """However many blocks of pairs there are, the texts are encoded in one pass."""
+    passes, plain_ids = [], alignment.token_ids
+    monkeypatch.setattr(alignment, "SHARD_KEYS", 1)
+    monkeypatch.setattr(alignment, "BLOCK_KEYS", 2)
+    monkeypatch.setattr(alignment, "token_ids", lambda *x: passes.append(1) or plain_ids(*x))
+    rows = alignment.alignments(docs([(1, "one two three four"), (2, "five six seven")]))
+    plan = rows._jdf.queryExecution().toString()
+    assert rows.count() == 2 and passes == [1] and "text" not in plan
+
+
+def test_ids_are_kept_whole(spark, docs, own):
+    """Written ids give back both encodings; nulls, empty texts and repeated rows keep their rows."""
+    texts = [None, "", "a", "naïve 中文", "a"]
+    rows = alignment.token_ids(docs(list(enumerate(texts))).selectExpr("doc_id AS key", "text"), FOLDER).collect()
+    got = {r.key: [np.frombuffer(x, "<u2").tolist() for x in (r.a, r.b)] for r in rows}
+    a, b = own
+    assert got == {i: [a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)] if t else [[], []] for i, t in enumerate(texts)}
+    assert alignment._width(1 << 16) == "<u2" and alignment._width((1 << 16) + 1) == "<u4"
