@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.functions.validate import command_payload_reasons, line_total
+from eventfold.functions.validate import PAYLOAD_TYPES, command_payload_reasons, line_total
 from eventfold.lifecycle import ORDER_LIFECYCLE, PAYMENT_METHODS, Lifecycle
 from eventfold.plans.hot import BLOCK_ROWS, BROADCAST_KEYS, hot_keys
 from eventfold.plans.scan import running
@@ -105,14 +105,16 @@ def check_advances(commands: DataFrame, lifecycle: Lifecycle = ORDER_LIFECYCLE)
     """
     if "payload" not in commands.columns:
         return commands
+    # Each step is its own projection, so a payload is parsed once, and only where it has rules.
+    advance, broken = F.col("kind") == "advance", F.col("_broken")
     parsed = F.coalesce(F.try_parse_json(F.coalesce("payload", F.lit("{}"))), F.parse_json(F.lit("null")))
-    broken = command_payload_reasons(F.col("event_type"), parsed, lifecycle)
-    advance = F.col("kind") == "advance"
     text = F.when(F.size(broken) > 0, F.concat(F.array_join(broken, ", "), F.when(F.size(broken) > 1, " are empty").otherwise(" is empty")))
     return (
-        commands.withColumn("payload_reason", F.when(advance, text).otherwise(F.col("payload_reason")))
+        commands.withColumn("_parsed", F.when(advance & F.col("event_type").isin(*PAYLOAD_TYPES), parsed))
+        .withColumn("_broken", F.when(advance, command_payload_reasons(F.col("event_type"), F.col("_parsed"), lifecycle)))
+        .withColumn("payload_reason", F.when(advance, text).otherwise(F.col("payload_reason")))
         .withColumn("payload_ok", F.when(advance, F.size(broken) == 0).otherwise(F.col("payload_ok")))
-        .drop("payload")
+        .drop("payload", "_parsed", "_broken")
     )
 
 

@@ -36,7 +36,10 @@ def publish_results(
 
     ``results`` come from ``commands.guard``, ``creations`` from ``creation_payloads``,
     ``advances`` holds ``cmd_id`` and ``payload`` (JSON text). The three logs are one batch.
+    For a batch that is committed nothing is worked out again.
     """
+    if (done := outbox.batch(batch_id)) is not None:
+        return done
     results = written(results, "guard-results")
     made = written(creations, "creations")
     said = made.select("cmd_id", F.to_json(F.struct("customer_id", "items", "total_amount", "payment")).alias("payload_json")).unionByName(

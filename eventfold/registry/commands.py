@@ -13,8 +13,8 @@ from eventfold.operators.publishing import RECORD, creation_payloads, publish_re
 from eventfold.registry import register
 from eventfold.registry.sql import cte, using
 from eventfold.schemas import ITEMS_TYPE, LIFECYCLE_TOPIC, PAYMENT_TYPE, SNAPSHOT_TOPIC
-from eventfold.session import work_dir
-from eventfold.sources.order_log import order_id_of
+from eventfold.session import work_dir, written
+from eventfold.sources.order_log import dealt, order_id_of
 from eventfold.sources.outbox import Outbox
 
 
@@ -56,7 +56,8 @@ def creates(spark, d):
     return O.check_creates(headers, lines(spark, d))
 
 
-def commands(spark, d):
+def commands(spark, d, made=None):
+    """Requests of every kind; ``made`` are the creations, where they are worked out already."""
     k, n = F.col("k"), F.col("n")
 
     def cmd(when, slot, kind, event_type=None, force=None, unknown=False, bad=None):
@@ -73,7 +74,7 @@ def commands(spark, d):
         )
 
     forced = k % 23 == 7
-    made = F.array_compact(
+    later = F.array_compact(
         F.array(
             cmd((n >= 2) & (k % 17 != 3) & ~forced, 2, "advance", "PACKED"),
             cmd((n >= 2) & (k % 17 != 3) & forced, 2, "advance", "DELIVERED", F.lit(True)),
@@ -86,7 +87,7 @@ def commands(spark, d):
             cmd(k % 61 == 9, 9, "advance", "PACKED", unknown=True),
         )
     )
-    rest = _orders(spark, d).select("k", F.explode(made).alias("c")).select(
+    rest = dealt(_orders(spark, d).select("k", "n"), "k").select("k", F.explode(later).alias("c")).select(
         (k * 16 + F.col("c.slot")).alias("cmd_id"),
         "k",
         "c.kind",
@@ -101,7 +102,7 @@ def commands(spark, d):
             F.to_json(F.struct(F.when(F.col("c.bad"), "").otherwise("Pathao").alias("carrier"), F.concat(F.lit("PT-"), F.col("k")).alias("tracking_number"))),
         ).otherwise(F.lit("{}")).alias("payload"),
     )
-    first = creates(spark, d).select(
+    first = (creates(spark, d) if made is None else made).select(
         "cmd_id", "k", "kind", "order_id", F.lit(None).cast("string").alias("event_type"), F.lit(False).alias("force"),
         "payload_ok", "payload_reason", F.lit(None).cast("string").alias("payload"),
     )
@@ -265,11 +266,12 @@ def guard_composed(spark, d):
 
 
 def published(spark, d):
-    """One run of the guard, published twice under one batch id, as after a retry."""
-    box, asked = Outbox(spark, work_dir(spark, "outbox")), commands(spark, d)
-    made = creation_payloads(creates(spark, d), lines(spark, d))
+    """One run of the guard, published twice under one batch id, as after a retry; the second finds the batch committed."""
+    box, made = Outbox(spark, work_dir(spark, "outbox")), written(creates(spark, d), "creates")
+    asked = written(commands(spark, d, made), "asked")
+    results = O.guard(asked)
     for _ in range(2):
-        publish_results(box, 0, O.guard(asked), made, asked.where("kind = 'advance'").select("cmd_id", "payload"), 3)
+        publish_results(box, 0, results, creation_payloads(made, lines(spark, d)), asked.where("kind = 'advance'").select("cmd_id", "payload"), 3)
     return box
 
 

@@ -34,11 +34,15 @@ class Outbox:
         except AnalysisException:
             return self.spark.createDataFrame([], COMMIT)
 
+    def batch(self, batch_id: int) -> DataFrame | None:
+        """The commit records of a batch, None before it is committed."""
+        mine = self.committed().where(F.col("batch") == batch_id)
+        return None if mine.isEmpty() else mine
+
     def publish(self, batch_id: int, logs: Mapping[str, DataFrame]) -> DataFrame:
         """Write ``logs`` in the order given and commit them. Returns the batch's commit records."""
-        mine = self.committed().where(F.col("batch") == batch_id)
-        if not mine.isEmpty():
-            return mine
+        if (done := self.batch(batch_id)) is not None:
+            return done
         counts = None
         for name, rows in logs.items():
             write_batch(rows, f"{self.path}/{name}", batch_id)

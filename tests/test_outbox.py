@@ -1,6 +1,7 @@
 """Several logs in one batch: a failure between the writes leaves all or nothing to read."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventfold.sources import outbox as B
 from eventfold.sources.sinks import write_batch
@@ -39,3 +40,26 @@ def test_a_committed_batch_is_left_as_it_is(spark, tmp_path):
     again = box.publish(0, logs(spark, 100)).collect()
     assert sorted((r.log, r.n, r.batch) for r in again) == [("events", 4, 0), ("snapshots", 2, 0)]
     assert seen(box) == [[0, 1, 2, 3], [0, 1]]
+
+
+def test_committed_batch_is_not_worked_out_again(spark, tmp_path):
+    """A repeat of a committed run of the guard reads its commit records and none of its inputs."""
+    from eventfold.operators.publishing import publish_results
+
+    box = B.Outbox(spark, str(tmp_path / "box"))
+    first = box.publish(3, {"a": spark.range(2)})
+    broken = spark.range(1).select(F.raise_error(F.lit("worked out again")).alias("cmd_id"))
+    again = publish_results(box, 3, broken, broken, broken, 3)
+    assert sorted(again.collect()) == sorted(first.collect()) and box.batch(4) is None
+
+
+def test_only_payloads_with_rules_are_parsed(spark):
+    """Steps without rules take any text; the others are parsed once in the plan."""
+    from eventfold.operators.commands import check_advances
+
+    rows = [(1, "advance", "PACKED", "no json"), (2, "advance", "SHIPPED", "no json"), (3, "create", None, "no json"), (4, "advance", "SHIPPED", '{"carrier":"c","tracking_number":"t"}'), (5, "advance", "SHIPPED", None)]
+    made = spark.createDataFrame(rows, "cmd_id int, kind string, event_type string, payload string").selectExpr("*", "kind = 'create' AS payload_ok", "CAST(NULL AS string) AS payload_reason")
+    out = check_advances(made)
+    missing = "carrier, tracking_number are empty"
+    assert {r.cmd_id: (r.payload_ok, r.payload_reason) for r in out.collect()} == {1: (True, None), 2: (False, missing), 3: (True, None), 4: (True, None), 5: (False, missing)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 3
