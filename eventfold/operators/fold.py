@@ -1,8 +1,8 @@
 """The per-order fold and everything read off it.
 
-One shuffle serves all outputs: rows are partitioned by order once, fanned out to the
-groups afterwards, and running aggregates along each order give the state before and
-after every delivery. Orders too long for one task take a second path: they are cut into
+One shuffle serves all outputs: rows are partitioned and sorted by order once, running
+aggregates along each order give the state of every group before and after a record, and
+only then are the rows fanned out to the groups. Orders too long for one task take a second path: they are cut into
 blocks of rows, and one row per block carries the state over, see :func:`_carry_blocks`.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from eventfold.functions import text as X
 from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
 from eventfold.operators.decode import parse_event
-from eventfold.operators.routing import branch, with_delivery
-from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec, apply_handler, fan_out
+from eventfold.operators.routing import OUTCOME, divided, per_service, with_delivery
+from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec
 from eventfold.plans.hot import BLOCK_ROWS, split
 from eventfold.plans.scan import numbered, running
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
@@ -49,10 +49,16 @@ class Reset:
 
 @dataclass(frozen=True)
 class Deliveries:
-    """Rows of ordinary orders, and those of hot ones with their blocks (None: no hot order)."""
+    """Rows of ordinary orders, and those of hot ones with their blocks (None: no hot order).
+
+    ``undivided`` are the same two before the fan-out, with the outcome for each of the
+    ``services`` (``per_service``), for whoever scans an order once for all groups.
+    """
 
     cold: DataFrame
     hot: DataFrame | None = None
+    undivided: tuple[DataFrame, DataFrame | None] | None = None
+    services: Sequence[ServiceSpec] = DEFAULT_SERVICES
 
 
 def deliveries(
@@ -71,8 +77,8 @@ def deliveries(
     """Rows that touch a fold: events with their handler's outcome, and tombstones.
 
     Decodes once, drops the payload and writes the narrow rows, which count the rows of each
-    decoded order id. Rows shuffle once by order (hot ones by order and block) and only then
-    fan out to the groups. Without ``find_hot`` nothing is written and no order is cut, for
+    decoded order id. Rows shuffle once by order (hot ones by order and block); they fan out
+    to the groups behind the scan of :func:`history`. Without ``find_hot`` nothing is written and no order is cut, for
     logs known to hold no order of more than ``block_rows`` records.
 
     Offsets order the records of one topic. When deletes arrive on a topic of their own,
@@ -95,17 +101,10 @@ def deliveries(
         tasks = [max(2 * log.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // TASK_ROWS))]
 
     def delivered(rows: DataFrame) -> DataFrame:
-        routed = fan_out(rows, services).withColumn("route", branch(F.col("service"), snapshot_topic))
-        mine = routed.where(F.col("route").isin("event", "tombstone")).drop("is_poison")
-        handled = apply_handler(mine, handler).drop("handled_types")
-        keep = ~F.col("is_tombstone")
-        return handled.withColumn("error_class", F.when(keep, F.col("error_class"))).withColumn(
-            "handler_ok", keep & F.col("handler_ok")
-        )
+        return per_service(rows, services, handler, snapshot_topic).drop("is_poison")
 
-    return Deliveries(
-        delivered(cold.repartition(*tasks, "order_id")), None if hot is None else delivered(hot.repartition("order_id", "block"))
-    )
+    whole = (delivered(cold.repartition(*tasks, "order_id")), None if hot is None else delivered(hot.repartition("order_id", "block")))
+    return Deliveries(*[None if rows is None else _mine(divided(rows, services)) for rows in whole], whole, services)
 
 
 def merged_order(
@@ -139,24 +138,27 @@ def history(
     memory. ``is_last`` marks the newest row of an order in its group. Ordinary orders need
     no join; hot ones have a plan of their own, and both results are put together.
     """
-    cold = _history(rows.cold, mode, resets, order, lifecycle)
-    if rows.hot is None:
-        return cold
-    return cold.unionByName(_history(rows.hot, mode, resets, order, lifecycle).drop("block"))
+    once = rows.undivided is not None and not resets
+    cold, hot = rows.undivided if once else (rows.cold, rows.hot)
+    services = rows.services if once else None
+    out = _history(cold, services, mode, resets, order, lifecycle)
+    if hot is None:
+        return out
+    return out.unionByName(_history(hot, services, mode, resets, order, lifecycle).drop("block"))
 
 
-def _history(rows: DataFrame, mode: str, resets: Sequence[Reset], order: Sequence[str], lifecycle: Lifecycle) -> DataFrame:
-    blocks = ["block"] if "block" in rows.columns else []
-    keys = ["group_id", "order_id", "lost"]
-    lost = F.lit(0)
-    for r in resets:
-        hit = (
-            (F.col("group_id") == r.group_id)
-            & (F.col("topic") == r.topic)
-            & (F.col("partition") == r.partition)
-            & (F.col("offset") >= r.offset)
-        )
-        lost = lost + hit.cast("int")
+def _mine(rows: DataFrame) -> DataFrame:
+    """Rows that touch the fold of their group; a tombstone is no event for its handler."""
+    keep = ~F.col("is_tombstone")
+    return rows.where(F.col("route").isin("event", "tombstone")).withColumn(
+        "error_class", F.when(keep, F.col("error_class"))
+    ).withColumn("handler_ok", keep & F.col("handler_ok"))
+
+
+def _history(
+    rows: DataFrame, services: Sequence[ServiceSpec] | None, mode: str, resets: Sequence[Reset], order: Sequence[str], lifecycle: Lifecycle
+) -> DataFrame:
+    """History of undivided rows with their ``services``, or of divided ones."""
     if mode == GUARDED:
         ranks = [F.col("sequence").alias("r")] + [(-F.col(c)).alias(f"p{i}") for i, c in enumerate(order)]
     elif mode == LAST_WRITE:
@@ -169,6 +171,94 @@ def _history(rows: DataFrame, mode: str, resets: Sequence[Reset], order: Sequenc
         lifecycle.resulting(F.col("event_type")).alias("state"),
         F.col("event_id").alias("event_id"),
     )
+    blocks = ["block"] if "block" in rows.columns else []
+    if services is None:
+        local = _by_group(rows, value, resets, order, blocks)
+    else:
+        local = _by_order(rows, services, value, order, blocks)
+    keys = ["group_id", "order_id", "lost"]
+    whole = _carry_blocks(local, keys) if blocks else local.withColumn("is_last", F.col("_next").isNull())
+    stone = F.col("is_tombstone")
+    best = (
+        F.when(F.col("_v").isNull(), F.col("prev"))
+        .when(F.col("prev").isNull() | (F.col("_v") > F.col("prev")), F.col("_v"))
+        .otherwise(F.col("prev"))
+    )
+    # A reset empties the whole partition, so only what came after the last one is still held.
+    last_life = F.lit(0)
+    for r in resets:
+        hit = (F.col("group_id") == r.group_id) & (F.col("topic") == r.topic) & (F.col("partition") == r.partition)
+        last_life = last_life + hit.cast("int")
+    counted = {f"_{name}{i}" for name in OUTCOME for i in range(len(services or ()))}
+    plain = [c for c in rows.columns if c not in {*counted, "service", "group_id", *OUTCOME}]
+    return whole.select(
+        *plain, "service", "group_id", *OUTCOME,
+        "prev",
+        "prev_handled",
+        F.when(~stone, best).alias("cur"),
+        F.when(stone, F.lit(0)).otherwise(F.col("prev_handled") + F.col("handler_ok").cast("bigint")).cast("bigint").alias("handled"),
+        (F.col("is_last") & (F.col("lost") == last_life)).alias("is_last"),
+    )
+
+
+def _by_order(rows: DataFrame, services: Sequence[ServiceSpec], value: Column, order: Sequence[str], blocks: Sequence[str]) -> DataFrame:
+    """The state before every row for all groups at once, then a row per group.
+
+    An order is sorted and scanned once and not once per group. Every group sees every
+    tombstone, so the groups share the epochs.
+    """
+    every = range(len(services))
+    along = Window.partitionBy("_hash", "order_id", *blocks).orderBy(*order)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    total = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stone = F.col("is_tombstone")
+    mine = [F.col(f"_route{i}").isin("event", "tombstone").cast("bigint") for i in every]
+    done = [(F.col(f"_route{i}") == "event") & F.col(f"_handler_ok{i}") for i in every]
+    # The hash sorts as a number. Order ids begin alike, so as first key they cost a whole
+    # comparison each time.
+    counted = rows.withColumn("_hash", F.xxhash64("order_id")).withColumn("_v", value).withColumns(
+        {
+            "_epoch": F.coalesce(F.sum(stone.cast("int")).over(before), F.lit(0)),
+            **{f"_done{i}": F.coalesce(F.sum(done[i].cast("bigint")).over(before), F.lit(0)) for i in every},
+            **{f"_come{i}": F.coalesce(F.sum(mine[i]).over(before), F.lit(0)) for i in every},
+            **{f"_all{i}": F.sum(mine[i]).over(total) for i in every},
+        }
+    )
+    # An epoch ends with its tombstone. The struct leads with the epoch, so the running
+    # maximum forgets older epochs without sorting the rows a second time.
+    tagged = F.struct(F.col("_epoch").alias("e"), F.col("_v").alias("v"))
+    known = counted.withColumns(
+        {
+            **{f"_top{i}": F.max(F.when(done[i], tagged)).over(before) for i in every},
+            **{f"_spent{i}": F.coalesce(F.max(F.when(stone, F.col(f"_done{i}"))).over(before), F.lit(0)) for i in every},
+        }
+    )
+    each = {}
+    for i in every:
+        each[f"_prev{i}"] = F.when(F.col(f"_top{i}.e") == F.col("_epoch"), F.col(f"_top{i}.v"))
+        each[f"_prev_handled{i}"] = F.col(f"_done{i}") - F.col(f"_spent{i}")
+        each[f"_next{i}"] = F.when(F.col(f"_all{i}") > F.col(f"_come{i}") + 1, F.lit(1))
+    out = known.select(*rows.columns, "_epoch", "_v", *[c.alias(name) for name, c in each.items()])
+    return (
+        _mine(divided(out, services, (*OUTCOME, "prev", "prev_handled", "next")))
+        .withColumnRenamed("next", "_next")
+        .withColumn("_v", F.when(F.col("handler_ok"), F.col("_v")))
+        .withColumn("lost", F.lit(0))
+    )
+
+
+def _by_group(rows: DataFrame, value: Column, resets: Sequence[Reset], order: Sequence[str], blocks: Sequence[str]) -> DataFrame:
+    """The same row by row of each group, for groups that lose their memory at places of their own."""
+    keys = ["group_id", "order_id", "lost"]
+    lost = F.lit(0)
+    for r in resets:
+        hit = (
+            (F.col("group_id") == r.group_id)
+            & (F.col("topic") == r.topic)
+            & (F.col("partition") == r.partition)
+            & (F.col("offset") >= r.offset)
+        )
+        lost = lost + hit.cast("int")
     # The hash sorts as a number. Order and group ids begin alike, so as first keys they cost a
     # whole comparison each time.
     along = Window.partitionBy("_hash", *keys, *blocks).orderBy(*order)
@@ -188,28 +278,9 @@ def _history(rows: DataFrame, mode: str, resets: Sequence[Reset], order: Sequenc
         .withColumn("_spent", F.coalesce(F.max(F.when(stone, F.col("_ok"))).over(before), F.lit(0)))
         .withColumn("_next", F.lead(F.lit(1)).over(along))
     )
-    local = staged.withColumn("prev", F.when(F.col("_top.e") == F.col("_epoch"), F.col("_top.v"))).withColumn(
+    return staged.withColumn("prev", F.when(F.col("_top.e") == F.col("_epoch"), F.col("_top.v"))).withColumn(
         "prev_handled", F.col("_ok") - F.col("_spent")
     )
-    whole = _carry_blocks(local, keys) if blocks else local.withColumn("is_last", F.col("_next").isNull())
-    best = (
-        F.when(F.col("_v").isNull(), F.col("prev"))
-        .when(F.col("prev").isNull() | (F.col("_v") > F.col("prev")), F.col("_v"))
-        .otherwise(F.col("prev"))
-    )
-    # A reset empties the whole partition, so only what came after the last one is still held.
-    last_life = F.lit(0)
-    for r in resets:
-        hit = (F.col("group_id") == r.group_id) & (F.col("topic") == r.topic) & (F.col("partition") == r.partition)
-        last_life = last_life + hit.cast("int")
-    return whole.select(
-        *rows.columns,
-        "prev",
-        "prev_handled",
-        F.when(~stone, best).alias("cur"),
-        F.when(stone, F.lit(0)).otherwise(F.col("prev_handled") + F.col("handler_ok").cast("bigint")).cast("bigint").alias("handled"),
-        (F.col("is_last") & (F.col("lost") == last_life)).alias("is_last"),
-    )
 
 
 def _carry_blocks(local: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -125,3 +125,10 @@ def test_fold_sorts_by_a_number_first(log):
     hist = O.history(O.deliveries(log, handler=fixture_handler, find_hot=False))
     sorts = re.findall(r"Sort \[(\w+)#", plan(hist))
     assert sorts and set(sorts) == {"_hash"}
+
+
+def test_fold_scans_an_order_once_for_all_groups(log):
+    """Rows fan out behind the windows; no window sorts or splits by group."""
+    text = plan(O.final_folds(O.history(O.deliveries(log, handler=fixture_handler, find_hot=False))))
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", text)
+    assert windows and not any("group_id" in w for w in windows)
