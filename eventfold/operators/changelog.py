@@ -16,7 +16,8 @@ def compact_latest(log: DataFrame, where_live: Column | None = None) -> DataFram
 
     Two steps: the highest offset per key, combined before the shuffle, then a semi join on
     the record's position. Positions are unique, so a hot key loads no single task, and
-    values are not carried through the aggregation.
+    values are not carried through the aggregation. The offset is the first join key, as both
+    sides are sorted by the keys in turn, and topics are equal over long runs.
     """
     keyed = log.where(F.col("key").isNotNull())
     eligible = keyed if where_live is None else keyed.where(where_live)
@@ -25,7 +26,7 @@ def compact_latest(log: DataFrame, where_live: Column | None = None) -> DataFram
         .agg(F.max("offset").alias("offset"))
         .select("topic", "partition", "offset")
     )
-    return eligible.join(newest, ["topic", "partition", "offset"], "left_semi")
+    return eligible.join(newest, ["offset", "partition", "topic"], "left_semi").select(*log.columns)
 
 
 def null_keys(log: DataFrame) -> DataFrame:
