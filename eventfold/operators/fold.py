@@ -20,9 +20,11 @@ from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import OUTCOME, divided, per_service, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec
 from eventfold.plans.hot import BLOCK_ROWS, split
-from eventfold.plans.scan import numbered, running
+from eventfold.plans.scan import running
+from eventfold.plans.small import checked_broadcast
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
 from eventfold.session import written
+from eventfold.sources.offsets import BROADCAST_PARTITIONS
 
 GUARDED = "guarded"
 LAST_WRITE = "last_write"
@@ -469,13 +471,18 @@ def merged_changelog(hist: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
 
     Source offsets of two topics overlap and say nothing about each other. Positions here are
     dense in each changelog partition and follow the merged order. The records are
-    range-partitioned along it; counts per range and a position inside each range add up, so
-    no window spans a partition. Both reads see the same written cut.
+    range-partitioned and sorted along it once; the rows before a range and the place inside
+    it add up, so no window spans a partition. Both reads see the same written cut.
     """
-    records = written(changelog(hist, MERGED), "changelog-records")
+    records, keys = written(changelog(hist, MERGED), "changelog-records"), ["topic", "partition"]
     parts = records.count() // block_rows + 1
-    cut = records.repartitionByRange(parts, "topic", "partition", *MERGED).withColumn("_range", F.spark_partition_id())
-    placed = numbered(written(cut, "changelog-ranges"), ["topic", "partition"], ["_range"], MERGED, "position")
+    dealt = records.repartitionByRange(parts, *keys, *MERGED).sortWithinPartitions(*keys, *MERGED)
+    # the id counts the rows of a range in this order; its upper bits number the ranges
+    cut = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "changelog-ranges").withColumn("_range", F.shiftright("_at", 33))
+    sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    small = checked_broadcast(sizes.select(*keys, "_range", (before - F.col("_first")).alias("_shift")), BROADCAST_PARTITIONS)
+    placed = cut.join(small, [*keys, "_range"]).withColumn("position", F.col("_at") + F.col("_shift"))
     return placed.select("topic", "group_id", "partition", F.col("position").alias("offset"), "timestamp", "key", "value")
 
 

@@ -132,3 +132,13 @@ def test_fold_scans_an_order_once_for_all_groups(log):
     text = plan(O.final_folds(O.history(O.deliveries(log, handler=fixture_handler, find_hot=False))))
     windows = re.findall(r"windowspecdefinition\(([^)]*)", text)
     assert windows and not any("group_id" in w for w in windows)
+
+
+def test_merged_positions_are_dense_over_many_ranges(spark):
+    """One sort numbers the changelog: no window over its records and no join that shuffles them."""
+    log = lifecycle_log(spark, SF)
+    hist = O.history(O.deliveries(log, handler=fixture_handler, merge_topics=("order-lifecycle",)), order=O.MERGED)
+    placed = O.merged_changelog(hist, block_rows=500)
+    assert "SortMergeJoin" not in plan(placed)
+    ends = placed.groupBy("topic", "partition").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("d"), F.max("offset").alias("m"))
+    assert ends.where("n <> d OR m <> n - 1").isEmpty() and ends.count() == 9
