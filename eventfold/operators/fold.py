@@ -19,7 +19,7 @@ from eventfold.lifecycle import ORDER_LIFECYCLE, Lifecycle
 from eventfold.operators.decode import parse_event
 from eventfold.operators.routing import OUTCOME, divided, per_service, with_delivery
 from eventfold.operators.services import DEFAULT_SERVICES, Handler, ServiceSpec
-from eventfold.plans.hot import BLOCK_ROWS, split
+from eventfold.plans.hot import BLOCK_ROWS, PART_ROWS, split
 from eventfold.plans.scan import running
 from eventfold.plans.small import checked_broadcast
 from eventfold.schemas import FOLD_VALUE_TYPE, SNAPSHOT_TOPIC
@@ -30,6 +30,8 @@ GUARDED = "guarded"
 LAST_WRITE = "last_write"
 #: Rows that a task of the fold gets before the fan-out to the groups.
 TASK_ROWS = 1 << 18
+#: Ranges of the merged changelog that may be shorter than ``PART_ROWS``.
+SHORT_RANGES = 64
 #: Order columns of a log read from several topics.
 MERGED = ("arrival", "topic_rank", "offset")
 
@@ -466,6 +468,14 @@ def changelog(hist: DataFrame, order: Sequence[str] = ("offset",)) -> DataFrame:
     )
 
 
+def range_count(rows: int, block_rows: int) -> int:
+    """Ranges for so many rows: short blocks share one beyond ``SHORT_RANGES``, long ones are what a task sorts at most.
+
+    Each costs a task and a block of every map task's shuffle file, so their number follows the rows.
+    """
+    return min(rows // min(block_rows, TASK_ROWS), max(SHORT_RANGES, rows // PART_ROWS)) + 1
+
+
 def merged_changelog(hist: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The changelog of a fold over several topics, with positions of its own.
 
@@ -475,10 +485,10 @@ def merged_changelog(hist: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     it add up, so no window spans a partition. Both reads see the same written cut.
     """
     records, keys = written(changelog(hist, MERGED), "changelog-records"), ["topic", "partition"]
-    parts = records.count() // block_rows + 1
-    dealt = records.repartitionByRange(parts, *keys, *MERGED).sortWithinPartitions(*keys, *MERGED)
+    dealt = records.repartitionByRange(range_count(records.count(), block_rows), *keys, *MERGED).sortWithinPartitions(*keys, *MERGED)
     # the id counts the rows of a range in this order; its upper bits number the ranges
-    cut = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "changelog-ranges").withColumn("_range", F.shiftright("_at", 33))
+    placed_by = dealt.withColumn("_at", F.monotonically_increasing_id()).drop(*MERGED)
+    cut = written(placed_by, "changelog-ranges").withColumn("_range", F.shiftright("_at", 33))
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
     small = checked_broadcast(sizes.select(*keys, "_range", (before - F.col("_first")).alias("_shift")), BROADCAST_PARTITIONS)
