@@ -126,3 +126,67 @@ def test_guard_of_a_bucket_equals_the_sequential_one():
     assert p.cells.calls <= 12
     got = pd.concat(out).astype(object).sort_values("cmd_id")
     assert [(a, b, c or None, d, e) for a, b, c, d, e in got[["cmd_id", "status", "sequence", "state_before", "state_after"]].itertuples(index=False)] == sequential_guard(commands)
+
+
+def lane(n, seed):
+    r = random.Random(seed)
+    return [
+        dict(topic="t.retry", partition=0, offset=i, micros=i, key=b"k", value=f"v{i}".encode(), names=["a"], texts=[b"b"], due_ms=r.randrange(1, 50) * 100 + i // 4, attempt=2)
+        for i in range(n)
+    ]
+
+
+def release_all(p, rows, batches, moments, arrive_at=50):
+    """Records by the moment they leave at; rows come in shuffled frames of 1,000, batch after batch."""
+    clock = lambda ms: N(getCurrentProcessingTimeInMs=lambda: ms)
+    left, frames, size = {}, [], len(rows) // batches
+    for b in range(batches):
+        part = rows[b * size:(b + 1) * size]
+        random.Random(b).shuffle(part)
+        frames += list(p.handleInputRows((0,), (pd.DataFrame(part[i:i + 1000]) for i in range(0, size, 1000)), clock(arrive_at)))
+    for ms in moments:
+        frames += list(p.handleExpiredTimer((0,), clock(ms), None))
+    for f in frames:
+        for r in f.to_dict("records"):
+            assert r["offset"] not in left
+            left[r["offset"]] = r
+    return left, frames
+
+
+def test_a_lane_leaves_in_order_and_in_bounded_pieces():
+    rows, moments = lane(12_000, 4), [900, 2500, 4000, 9000]
+    p, store = P.ReleaseProcessor(), Store()
+    p.init(store)
+    left, frames = release_all(p, list(rows), 2, moments)
+    gate, expected = 0, {}
+    for r in rows:
+        gate = max(gate, r["due_ms"])
+        expected[r["offset"]] = next(ms for ms in [50, *moments] if ms >= gate)
+    assert {o: r["released_ms"] for o, r in left.items()} == expected
+    assert all(left[r["offset"]]["value"] == r["value"] and left[r["offset"]]["texts"] == r["texts"] for r in rows)
+    assert max(len(f) for f in frames) <= P.PIECE and not p.pieces.values
+    assert p.pieces.calls < len(rows) / 50  # not a call per record
+    assert store.timers and min(store.timers) > 50
+
+
+def test_a_release_reads_only_the_pieces_it_touches():
+    rows = lane(12_000, 4)
+    p, store = P.ReleaseProcessor(), Store()
+    p.init(store)
+    release_all(p, list(rows), 1, [])
+    before, standing = p.pieces.calls, store.timers[-1]
+    # near pieces of 1,000 rows each; the first gate of a frame touches at most its own piece
+    list(p.handleExpiredTimer((0,), N(getCurrentProcessingTimeInMs=lambda: standing), None))
+    assert p.pieces.calls - before <= 3 * 12 and store.timers[-1] > standing
+
+
+def test_a_lane_judged_at_a_moment_sets_no_timer():
+    rows = lane(3000, 8)
+    p, store = P.ReleaseProcessor(at_ms=2500), Store()
+    p.init(store)
+    left, _ = release_all(p, list(rows), 1, [])
+    gate, due = 0, set()
+    for r in rows:
+        gate = max(gate, r["due_ms"])
+        due |= {r["offset"]} if gate <= 2500 else set()
+    assert set(left) == due and not store.timers
